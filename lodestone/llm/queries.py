@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import secrets
+from lodestone.llm import quality, secrets
 from lodestone.llm.shared import table
 
 
@@ -23,5 +23,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
-ORACLE_SQL: dict[str, str] = {}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict; strata are languages, the holdout is the labels table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_quality_rules": op2_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.oracle(),
+}
