@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, quality, secrets
+from lodestone.llm import mixing, packing, quality, secrets
 from lodestone.llm.shared import table
 
 
@@ -43,11 +43,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents mixed towards the square root of their sources' sizes, every copy with its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, details=True)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_poisson_mixing": op4_poisson_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
+    "op4_poisson_mixing": mixing.oracle(),
 }
