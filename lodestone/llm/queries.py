@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, quality, secrets
+from lodestone.llm import mixing, neardup, packing, quality, secrets
 from lodestone.llm.shared import table
 
 
@@ -49,11 +49,18 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, details=True)
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by 2-word shingles."""
+    found = neardup.find(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_poisson_mixing": op4_poisson_mixing,
+    "op5_minhash_neardup": op5_minhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
