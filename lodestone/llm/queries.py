@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, neardup, packing, quality, secrets
+from lodestone.llm import mixing, mpeg, neardup, packing, quality, secrets
 from lodestone.llm.shared import table
 
 
@@ -55,12 +55,35 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as MPEG audio, read back and indexed."""
+    stored = mpeg.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    read = mpeg.index_media(stored)
+    seek = F.hex(F.crc32(F.array_join(F.col("seek_offsets").cast("array<string>"), ",").cast("binary")))
+    feature = F.format_string(
+        "mpeg%s layer%d %dHz %dch frames=%d samples=%d us=%d kbps=%d-%d crc=%d/%d table=%s:%s seek=%s",
+        "version", "layer", "sample_rate", "channels", "n_frames", "samples", "duration_us", "kbps_min", "kbps_max",
+        F.col("crc_checked") - F.col("crc_failed"), "crc_checked", "table", "table_ok", seek,
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op7_mpeg_audio": op7_mpeg_audio,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
