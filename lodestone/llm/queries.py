@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, mpeg, neardup, packing, quality, secrets
+from lodestone.llm import html, mixing, mpeg, neardup, packing, quality, secrets
 from lodestone.llm.shared import table
 
 
@@ -77,6 +77,12 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, without its site's template."""
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -84,6 +90,7 @@ QUERIES = {
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op8_html_extraction": op8_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
