@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html, mixing, mpeg, neardup, packing, quality, secrets
-from lodestone.llm.shared import table
+from lodestone.llm import html, langid, mixing, mpeg, neardup, packing, quality, secrets
+from lodestone.llm.shared import table, text_crc32
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,14 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = text_crc32(F.col("doc_id")) % 5 == 0
+    found = langid.identify(docs, ~held_out, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -91,6 +99,7 @@ QUERIES = {
     "op5_minhash_neardup": op5_minhash_neardup,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_html_extraction": op8_html_extraction,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
