@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html, langid, mixing, mpeg, neardup, packing, quality, secrets
+from lodestone.llm import html, langid, mixing, mpeg, neardup, ngram, packing, quality, secrets
 from lodestone.llm.shared import table, text_crc32
 
 
@@ -83,6 +83,14 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score under a model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = text_crc32(F.col("doc_id")) % 10 == 0
+    model, found = ngram.train_and_score(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from four fifths of the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -99,6 +107,7 @@ QUERIES = {
     "op5_minhash_neardup": op5_minhash_neardup,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_html_extraction": op8_html_extraction,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
