@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html, langid, mixing, mpeg, neardup, ngram, packing, quality, secrets
+from lodestone.llm import html, langid, mixing, mpeg, neardup, ngram, packing, quality, secrets, toxicity
 from lodestone.llm.shared import table, text_crc32
 
 
@@ -55,6 +55,13 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's severity; the grades are the labels' toxic column."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return toxicity.judge(docs, toxicity.train(docs, labels), keep=["doc_id"])
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as MPEG audio, read back and indexed."""
     stored = mpeg.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -105,6 +112,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_toxicity": op6_toxicity,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_html_extraction": op8_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
