@@ -10,11 +10,14 @@ MISS), so only collisions of that many matter:
 * collisions over whole signatures are counted for the pairs which meet, and pairs above the threshold are confirmed on
   the full sets.
 
-Documents with equal sets are one class from the start, so that copies never form pairs. In a list of many classes not
-all pairs are formed either: in each round every list compares its members with a few pivots, confirmed links join
-components, and lists whose members form one component are finished, since further links in them change nothing. What
-still stands apart after ROUNDS is compared exactly, the smaller components of a list against all of it, in blocks of
-BLOCK signatures, and only colliding pairs of different components leave a block. No partner is capped or dropped.
+Documents with equal sets are one class from the start, so that copies never form pairs. Lists do not form all pairs
+either: first each member of a list meets the first member it collides with often enough, in lists over BLOCK members a
+few pivots in each of ROUNDS rounds; confirmed links join components, and what a list holds of one component is done,
+since further links inside it change nothing. Then every list compares its members of different components, lists over
+BLOCK members in blocks, the smaller components against all. No partner is capped or dropped.
+
+Whether a pair collides often enough is counted on 7 bits of each coordinate, which never miss a collision; the full
+sets decide.
 
 Defined results: null text, empty text and text without words have an empty set, linked with nothing. A text with fewer
 words than a shingle has one shingle, the whole. Rows with a null id are linked with nothing and get a null component.
@@ -34,7 +37,9 @@ from pyspark.sql import types as T
 from lodestone.llm.shared import Workspace, size_checked
 
 COORDINATES, MISS = 32, 1e-8
-PIVOTS, ROUNDS, BLOCK = 4, 4, 512
+PIVOTS, ROUNDS, BLOCK = 6, 2, 64
+#: Bits kept of a coordinate, and coordinates in one long.
+BITS, LANES = 7, 8
 #: The classes whose full sets are needed are sent to the scan of texts up to so many ids; more are joined.
 SENT_IDS = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -56,7 +61,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -72,15 +77,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles, A-Z lower-cased."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z and the six ASCII spaces
-    if not words:
-        return np.empty(0, "uint64")
-    h = np.fromiter(map(_words().__getitem__, words), "uint64", len(words))
+    return np.fromiter(map(_words().__getitem__, words), "uint64", len(words))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
     with np.errstate(over="ignore"):
-        span = min(width, len(words))
-        n = len(words) - span + 1
+        span = min(width, len(h))
+        n = len(h) - span + 1
         x = _mix(h[:n] * _A + np.uint64(span))
         for j in range(1, span):
             x = _mix(x * _B + h[j : j + n])
@@ -181,8 +191,24 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         step += 1
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _packed(sig: Column, coordinates: int) -> Column:
+    """The low bits of a signature's coordinates, LANES to a long."""
+    low = (1 << BITS) - 1
+    lane = lambda i: F.shiftleft(F.get(sig, F.lit(i)).bitwiseAND(F.lit(low)), BITS * (i % LANES))
+    longs = [functools.reduce(Column.bitwiseOR, [lane(i) for i in range(a, min(a + LANES, coordinates))]) for a in range(0, coordinates, LANES)]
+    return F.array(*longs)
+
+
+def _agreeing(a: Column, b: Column, coordinates: int) -> Column:
+    """Lanes that are equal in two packed signatures, counted by carrying every unequal lane into its top bit."""
+    top = sum(1 << (BITS * i + BITS - 1) for i in range(LANES))
+    low = sum(((1 << (BITS - 1)) - 1) << (BITS * i) for i in range(LANES))
+    total = F.lit(0)
+    for j in range(-(-coordinates // LANES)):
+        x = a[j].bitwiseXOR(b[j])
+        unequal = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top))
+        total = total + min(LANES, coordinates - j * LANES) - F.bit_count(unequal)
+    return total
 
 
 def _posted(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -198,42 +224,67 @@ def _open_lists(posted: DataFrame) -> DataFrame:
     return posted.join(spans, "v")
 
 
-def _pivot_pairs(posted: DataFrame, seed: int) -> DataFrame:
-    """Members of a list beside its pivots of another component. Pivots are the least under hash functions that all
-    lists share, so lists with much the same members take the same pivots."""
+def _list_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, first: bool) -> DataFrame:
+    """Colliding pairs of different components in lists of at most BLOCK members; with first, each member's first only."""
+    small = posted.join(posted.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") <= BLOCK), "v")
+    lists = small.join(packs, "node").groupBy("v").agg(F.collect_list(F.struct("node", "comp", "pack")).alias("ms"))
+
+    def partners(x, i):
+        met = F.filter(F.slice("ms", F.lit(1), i), lambda y: (y["comp"] != x["comp"]) & (_agreeing(x["pack"], y["pack"], coordinates) >= matches))
+        met = F.transform(met, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
+        return F.slice(met, 1, 1) if first else met
+
+    return lists.select(F.explode(F.flatten(F.transform("ms", partners))).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _pivot_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, seed: int) -> DataFrame:
+    """Members of a list beside its pivots of another component, if they collide often enough. Pivots are the least
+    under hash functions that all lists share, so lists with much the same members take the same pivots."""
     chosen = posted.groupBy("v").agg(*[F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node"), F.col("node").alias("p"), F.col("comp").alias("pc"))).alias(f"_{j}") for j in range(PIVOTS)])
     chosen = chosen.select("v", F.explode(F.array_distinct(F.array(*[F.struct(f"_{j}.p", f"_{j}.pc") for j in range(PIVOTS)]))).alias("s")).select("v", "s.*")
     met = posted.join(chosen, "v").filter("comp <> pc")
-    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    met = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    side = lambda c: packs.select(F.col("node").alias(c), F.col("pack").alias(f"{c}_pack"))
+    return met.join(side("a"), "a").join(side("b"), "b").filter(_agreeing(F.col("a_pack"), F.col("b_pack"), coordinates) >= matches).select("a", "b")
+
+
+def _large(posted: DataFrame) -> DataFrame:
+    """Postings of the lists with more than BLOCK members."""
+    return posted.join(posted.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("v"), "v")
 
 
-def _block_pairs(posted: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+def _block_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int) -> DataFrame:
     """All colliding pairs of different components of a list: the members outside a list's largest component against
-    all members, in blocks."""
+    all members, in blocks of about BLOCK."""
     sizes = posted.groupBy("v", "comp").count()
-    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("_big"), F.sum("count").alias("_n"))
-    rows = posted.join(largest, "v").withColumn("_minor", F.col("comp") != F.col("_big")).join(classes.select("node", "sig"), "node")
-    member = F.struct("node", "comp", "sig")
-    every = rows.withColumn("_c", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / BLOCK))).groupBy("v", "_c").agg(F.collect_list(member).alias("right"))
-    minor = rows.filter("_minor").withColumn("_d", F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / BLOCK))).groupBy("v", "_d").agg(F.collect_list(member).alias("left"))
+    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("_big"), F.sum("count").alias("_all"))
+    rows = posted.join(largest, "v").withColumn("_minor", F.col("comp") != F.col("_big")).join(packs, "node")
+    rows = rows.withColumn("_c", F.pmod(F.xxhash64("node"), F.ceil(F.col("_all") / BLOCK)))
+    member = F.struct("node", "comp", "pack")
+    every = rows.groupBy("v", "_c").agg(F.collect_list(member).alias("right"))
+    minor = rows.filter("_minor").withColumnRenamed("_c", "_d").groupBy("v", "_d").agg(F.collect_list(member).alias("left"))
+    longs = -(-coordinates // LANES)
+    low = np.int64(sum(((1 << (BITS - 1)) - 1) << (BITS * i) for i in range(LANES)))
+    top = np.int64(sum(1 << (BITS * i + BITS - 1) for i in range(LANES)))
 
     def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got: list[tuple[int, int]] = []
+            got: set[tuple[int, int]] = set()
             for left, right in zip(batch.column(0), batch.column(1)):
-                x, y = (v.values.flatten() for v in (left, right))
-                (xn, xc, xs), (yn, yc, ys) = (
-                    (p[0].to_numpy(), p[1].to_numpy(), p[2].flatten().to_numpy().reshape(len(p[0]), -1)) for p in (x, y)
-                )
-                agree = np.zeros((len(xn), len(yn)), "int16")
-                for i in range(xs.shape[1]):
-                    agree += xs[:, i, None] == ys[None, :, i]
+                sides = []
+                for values in (left.values, right.values):
+                    node, comp, pack = values.flatten()
+                    sides.append((node.to_numpy(), comp.to_numpy(), pack.flatten().to_numpy().reshape(len(node), longs)))
+                (xn, xc, xs), (yn, yc, ys) = sides
+                agree = np.full((len(xn), len(yn)), coordinates, "int64")
+                for i in range(longs):
+                    x = xs[:, i, None] ^ ys[None, :, i]
+                    agree -= np.bitwise_count((((x & low) + low) | x) & top)
                 for i, j in zip(*np.nonzero((agree >= matches) & (xc[:, None] != yc[None, :]))):
-                    got.append((min(xn[i], yn[j]), max(xn[i], yn[j])))
-            got = sorted(set(got))
-            yield pa.record_batch([pa.array([int(p[0]) for p in got], pa.int64()), pa.array([int(p[1]) for p in got], pa.int64())], names=["a", "b"])
+                    got.add((int(min(xn[i], yn[j])), int(max(xn[i], yn[j]))))
+            yield pa.record_batch([pa.array([p[i] for p in got], pa.int64()) for i in range(2)], names=["a", "b"])
 
     return minor.join(every, "v").select("left", "right").mapInArrow(compare, "a long, b long").distinct()
 
@@ -258,33 +309,53 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     lists = work.keep(lists, "posted")
     lists = work.keep(_open_lists(_posted(lists, None)).select("v", "node"), "lists")
     work.drop("posted")
-    wanted = lists.select("node").distinct().join(classes.select("node", "rep", "digest"), "node")
-    sets = work.keep(_full_sets(docs, key, text, work.keep(wanted, "wanted"), width), "sets")
-    signs = classes.select("node", "sig", "n")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that collide often enough and whose full sets are similar."""
-        side = lambda c: signs.select(F.col("node").alias(c), F.col("sig").alias(f"{c}_sig"), F.col("n").alias(f"{c}_n"))
-        met = pairs.join(side("a"), "a").join(side("b"), "b")
-        met = met.filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).filter(_agreeing(F.col("a_sig"), F.col("b_sig")) >= matches).select("a", "b")
-        items = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
-        full = met.join(items("a"), "a").join(items("b"), "b")
-        common = F.size(F.array_intersect("a_items", "b_items"))
-        union = F.size("a_items") + F.size("b_items") - common
-        return full.withColumn("_common", common).filter(100 * F.col("_common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("_common"))).select("a", "b")
-
-    edges, labels = None, None
-    for turn in range(ROUNDS + 1):
-        posted = work.keep(_open_lists(_posted(lists, labels)), f"open{turn}")
+    packs = work.keep(classes.join(lists.select("node").distinct(), "node").select("node", "n", _packed(F.col("sig"), coordinates).alias("pack")), "packs")
+    rows = classes.select("node", "rep", "digest")
+    state: dict = {"edges": None, "labels": None, "sets": None, "tested": None}
+
+    def confirm(pairs: DataFrame, name: str) -> None:
+        """Test the new pairs on full sets and join the components of those that are similar."""
+        size = lambda c: packs.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"))
+        pairs = pairs.join(size("a"), "a").join(size("b"), "b").filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b")
+        if state["tested"] is not None:
+            pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
+        pairs = work.keep(pairs, f"pairs_{name}")
+        if pairs.isEmpty():
+            return
+        state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if state["sets"] is not None:
+            need = need.join(state["sets"].select("node"), "node", "left_anti")
+        need = work.keep(need.join(rows, "node"), f"need_{name}")
+        if not need.isEmpty():
+            more = work.keep(_full_sets(docs, key, text, need, width), f"sets_{name}")
+            state["sets"] = more if state["sets"] is None else state["sets"].union(more)
+        items = lambda c: state["sets"].select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
+        full = pairs.join(items("a"), "a").join(items("b"), "b")
+        full = full.withColumn("_common", F.size(F.array_intersect("a_items", "b_items")))
+        linked = full.filter(100 * F.col("_common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("_common"))).select("a", "b")
+        linked = work.keep(linked, f"edges_{name}")
+        if not linked.isEmpty():
+            state["edges"] = linked if state["edges"] is None else state["edges"].union(linked)
+            state["labels"] = components(state["edges"], work, f"comp_{name}")
+
+    def still_open(name: str) -> DataFrame:
+        return work.keep(_open_lists(_posted(lists, state["labels"])), f"open_{name}")
+
+    small = packs.select("node", "pack")
+    for turn in range(ROUNDS):
+        posted = still_open(f"pivots{turn}")
+        posted = work.keep(_large(posted), f"large{turn}")
         if posted.isEmpty():
             break
-        pairs = _pivot_pairs(posted, turn) if turn < ROUNDS else _block_pairs(posted, classes, matches)
-        pairs = work.keep(pairs, f"pairs{turn}")
-        found = work.keep(confirmed(pairs), f"edges{turn}")
-        if found.isEmpty():
-            continue
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges, work, f"comp{turn}")
+        confirm(_pivot_pairs(posted, small, matches, coordinates, turn), f"pivots{turn}")
+    confirm(_list_pairs(still_open("first"), small, matches, coordinates, True), "first")
+    posted = still_open("rest")
+    confirm(_list_pairs(posted, small, matches, coordinates, False), "rest")
+    posted = work.keep(_large(posted), "blocks")
+    if not posted.isEmpty():
+        confirm(_block_pairs(posted, small, matches, coordinates), "blocks")
+    labels = state["labels"]
 
     named_by = classes.select("node", "digest", "rep")
     if labels is not None:

@@ -74,14 +74,24 @@ def test_components_against_all_pairs(spark, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
-def test_blocks_alone_find_the_same(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+@pytest.mark.parametrize("rounds,block", [(0, 16), (2, 8)])
+def test_lists_in_blocks_find_the_same(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus(7, 20)
     out = neardup.find(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=repr) == brute(rows, 2)
 
 
+def test_agreeing_lanes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**63), 2**63 - 1, (300, 20))
+    y = np.where(rng.random((300, 20)) < 0.5, x, x + rng.integers(0, 300, (300, 20)))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "a array<long>, b array<long>")
+    got = df.select(neardup._agreeing(neardup._packed(df["a"], 20), neardup._packed(df["b"], 20), 20)).collect()
+    assert [r[0] for r in got] == [int(((a & 127) == (b & 127)).sum()) for a, b in zip(x, y)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     x = np.unique(rng.integers(0, 2**63, 2000, "uint64"))
