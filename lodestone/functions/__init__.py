@@ -1 +1 @@
-
+"""Column functions and plan-time arithmetic."""

@@ -1 +1 @@
-
+"""Plan helpers and the registry of queries."""
