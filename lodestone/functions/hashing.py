@@ -63,7 +63,8 @@ def family(k: int, m: int, seed: int, spread: int = 10_000_000) -> list[Hash]:
 
 def text_mod(text: Column, p: int) -> Column:
     """The bytes of a text as one big-endian integer, modulo p: folded byte by byte, so it never overflows."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(F.hex(text.cast("binary"))) / 2), lambda i: F.conv(F.substring(F.hex(text.cast("binary")), (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    digits = F.hex(text.cast("binary"))
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
     fold = F.aggregate(codes, F.lit(0).cast("long"), lambda r, c: F.pmod(r * 256 + c, F.lit(p)))
     return F.when(F.length(text) > 0, fold).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
 
