@@ -295,9 +295,9 @@ def user_means(spark, sf_dir):
     return recommend.means(adapters.reviews(spark, sf_dir), "user_id").withColumn("mean", F.round("mean", 6))
 
 
-@query(_CF_SQL + f" SELECT i, j, n, round({_W_SQL.replace('gap', '0')}, 6) AS weight FROM co WHERE i < j AND n >= 2")
+@query(_CF_SQL + f" SELECT i, j, n, {_W_SQL.replace('gap', '0')} AS weight FROM co WHERE i < j AND n >= 2")
 def pearson_pairs(spark, sf_dir):
-    return recommend.pearson_pairs(adapters.reviews(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return recommend.pearson_pairs(adapters.reviews(spark, sf_dir))
 
 
 def _by_items(spark, sf_dir):

@@ -14,7 +14,7 @@ def same(spark, query, sql, folder):
     names = sorted(want.columns)
     df = query(spark, str(folder))
     assert sorted(df.columns) == names
-    tidy = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) and math.isfinite(v) else v for v in r) for r in rows), key=repr)
+    tidy = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) and math.isfinite(v) else v for v in r) for r in rows), key=repr)
     got = tidy(tuple(r) for r in df.select(*names).collect())
     expected = tidy(want.select(*names).fetchall())
     assert got == expected
