@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import hash_fraction, size_checked
+from lodestone.llm.shared import by_length, hash_fraction, size_checked
 
 UNKNOWN = "und"
-TRAIN_DOCS, TRAIN_CHARS = 1600, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 800, 20_000
 BUCKETS = 1 << 18
 STEPS, RATE, DECAY = 30, 0.5, 1e-4
-SPLICES, SPAN = 3000, 64
-CHUNK, TOKENS = 256, 400_000
+SPLICES, SPAN = 1500, 64
+CHUNK, TOKENS, WORDS = 256, 200_000, 10_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -83,11 +83,12 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Unnormalised probabilities of each word's languages, the greatest 1."""
-        at, begins = features(words, len(self.weights))
-        if not words:
-            return np.empty((0, len(self.langs)))
-        scores = np.add.reduceat(self.weights[at], begins, axis=0).astype("float64")
-        return np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -50))
+        out = np.empty((len(words), len(self.langs)))
+        for a in range(0, len(words), WORDS):
+            at, begins = features(words[a : a + WORDS], len(self.weights))
+            scores = np.add.reduceat(self.weights[at], begins, axis=0).astype("float64")
+            out[a : a + WORDS] = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -50))
+        return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -233,8 +234,8 @@ def fit(samples: list[tuple[str, str]], buckets: int = BUCKETS, steps: int = STE
         start, final = np.tile(np.exp(model.first), (len(sequences), 1)), np.ones((len(sequences), size))
         out, counts = marginals(e, lengths, np.exp(model.moves), start, final, pairs=True)
         expected = np.stack([np.bincount(flat, out[..., j][real], minlength=len(vocabulary)) for j in range(size)], axis=1)
-        by_word = np.repeat(seen - expected, per_word, axis=0)
-        slope = np.stack([np.bincount(at, by_word[:, j], minlength=buckets) for j in range(size)], axis=1) / n
+        by_word = seen - expected
+        slope = np.stack([np.bincount(at, np.repeat(by_word[:, j], per_word), minlength=buckets) for j in range(size)], axis=1) / n
         for x, g, s in zip(
             (model.weights, model.moves, model.first),
             (slope - DECAY / 100 * model.weights, (moved - counts) / n - DECAY * model.moves, (begun - out[:, 0].sum(axis=0)) / n - DECAY * model.first),
@@ -248,7 +249,7 @@ def fit(samples: list[tuple[str, str]], buckets: int = BUCKETS, steps: int = STE
 class Labeller:
     """A model with the emissions of the words that it has met, forgotten when too many."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.forget()
 
@@ -281,6 +282,9 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text."""
+        return [found for run in by_length(texts) for found in self._label(run)]
+
+    def _label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         langs = self.model.langs
         if not langs:
             return [(UNKNOWN, 0.0)] * len(texts)

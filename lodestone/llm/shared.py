@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
-#: A side of a join is broadcast up to so many rows, counted before.
-BROADCAST_ROWS = 50_000
+from lodestone.plans.workspace import Workspace, size_checked
+
+__all__ = ["Workspace", "by_length", "hash_fraction", "size_checked", "table", "text_crc32"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,44 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Workspace:
-    """A folder of its own below spark.checkpoint.dir for an operator's intermediate tables.
-
-    A written table cuts lineage and outlives the executor that wrote it. drop() removes tables that nothing reads
-    any more; what the returned DataFrame reads stays until the folder is emptied by its owner.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-        self.spark, self.path = spark, f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a table of this folder and read it back."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def local_path(self, name: str) -> str | None:
-        """The folder as a path that every executor can open, where the shared folder is a mounted file system."""
-        at = urlparse(self.path)
-        return f"{at.path}/{name}" if at.scheme in ("", "file") else None
-
-
-def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Number rows: repeated ids and repeated rows stay apart. Only for tables read from files, whose order is fixed."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def size_checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it has at most limit rows (counted up to limit + 1); else as it is."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
-
-
 def hash_fraction(key: Column, seed: str) -> Column:
     """A number in [0, 1) with 52 random bits from a seed and the key's text; the same in any engine with md5."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
@@ -66,3 +24,16 @@ def hash_fraction(key: Column, seed: str) -> Column:
 def text_crc32(key: Column) -> Column:
     """crc32 of a key as text; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+
+
+def by_length(texts: list[str | None], chars: int = 2_000_000):
+    """A batch of texts in runs of about so many characters, so that what is made of a run stays small."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run

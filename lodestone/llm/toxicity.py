@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import hash_fraction
+from lodestone.llm.shared import by_length, hash_fraction
 
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
 BUCKETS = 1 << 19
@@ -83,7 +83,7 @@ class Model:
             least = float(self.grades[0]) if self.grades else 0.0
             return np.full(len(texts), least), np.zeros(len(texts))
         known = known or Features(len(self.weights))
-        scores = np.array([self.weights[x].sum(dtype="float64") for x in known.of(texts)])
+        scores = np.array([self.weights[x].sum(dtype="float64") for run in by_length(texts) for x in known.of(run)])
         p = self.above(scores)
         return self.grades[0] + p @ np.diff(self.grades), p[:, 0]
 
