@@ -51,7 +51,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _running(lengths: Column) -> Column:
-    """[0, a, a+b, ...] for [a, b, ...]."""
+    """[0, a, a+b, ...] for [a, b, ...], one element longer. Every step copies what it has."""
     return F.aggregate(
         lengths,
         F.struct(F.array(F.lit(0).cast("long")).alias("at"), F.lit(0).cast("long").alias("sum")),
@@ -60,6 +60,14 @@ def _running(lengths: Column) -> Column:
     )
 
 
+def _starts(lengths: Column, part: int = 256) -> Column:
+    """[0, a, a+b, ...] for [a, b, ...], equally long: by parts, so that the copies stay short for many lengths."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / part).cast("int")), lambda i: F.slice(lengths, i * part + 1, F.lit(part)))
+    totals = lambda ps: F.transform(ps, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, n: a + n))
+    moved = lambda x: F.flatten(F.transform(x["parts"], lambda p, i: F.transform(F.slice(_running(p), F.lit(1), F.size(p)), lambda v: v + x["base"][i])))
+    return _let(parts, lambda ps: _let(F.struct(ps.alias("parts"), _running(totals(ps)).alias("base")), moved))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches of a kind as array<struct<start, kind, end>>, in code points, end exclusive.
 
@@ -77,7 +85,7 @@ def spans_of(text: Column, kind: str) -> Column:
         # step i covers gap i and match i, so the match starts at the running sum of steps before it plus its gap
         steps = F.zip_with(x["gaps"], x["sizes"], lambda g, s: g + F.coalesce(s["m"], F.lit(0).cast("long")))
         return _let(
-            F.struct(x["gaps"].alias("gaps"), x["sizes"].alias("sizes"), _running(steps).alias("at")),
+            F.struct(x["gaps"].alias("gaps"), x["sizes"].alias("sizes"), _let(steps, lambda z: _starts(z)).alias("at")),
             lambda y: F.filter(
                 F.transform(
                     y["sizes"],

@@ -30,6 +30,7 @@ TEXTS = [
     "user=bob says hello and goes to https://example.org/ alone",
     "login: carol\n" + "x" * 200 + "\ntoken=abcdefgh12345678",
     "\n".join(f"token=abcdefgh{i:04d} user=u{i:03d}" for i in range(400)),
+    " ".join(f"password=abcdefgh{i:04d}" for i in range(1300)),
 ]
 
 
