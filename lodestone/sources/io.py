@@ -88,6 +88,17 @@ def betweenness_lines(edges: DataFrame) -> DataFrame:
     return edges.orderBy(F.desc("betweenness"), "u", "v").select(line.alias("value"))
 
 
+def cluster_report(rounds: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Lines (value, in the order of at): the rounds' counters, then index and cluster of every point by index."""
+    row = lambda part, at, value: (F.lit(part).alias("part"), at.cast("long").alias("at"), value.alias("value"))
+    spark = rounds.sparkSession
+    heads = spark.createDataFrame([(0, -1, "The intermediate results:"), (1, -2, ""), (1, -1, "The clustering results:")], "part int, at long, value string")
+    counters = [F.col(c).cast("string") for c in ("n_discard", "n_compression_clusters", "n_compression_points", "n_retained")]
+    turns = rounds.select(*row(0, F.col("round"), F.concat_ws(", ", F.concat(F.lit("Round "), F.col("round").cast("string"), F.lit(":")), *counters)))
+    points = assignments.select(*row(1, F.col("index"), F.concat_ws(", ", F.col("index").cast("string"), F.col("cluster").cast("string"))))
+    return heads.unionByName(turns).unionByName(points).orderBy("part", "at").select("value")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

@@ -46,6 +46,9 @@ def test_sinks(spark, tmp_path):
     sink(df, 1)
     sink(df, 1)
     assert spark.read.csv(f"{tmp_path}/a", header=True).count() == 4
+    rounds = spark.createDataFrame([(2, 5, 1, 2, 3), (1, 4, 0, 0, 1)], "round int, n_discard long, n_compression_clusters long, n_compression_points long, n_retained long")
+    lines = [r[0] for r in io.cluster_report(rounds, spark.createDataFrame([(1, -1), (0, 2)], "index long, cluster long")).collect()]
+    assert lines == ["The intermediate results:", "Round 1:, 4, 0, 0, 1", "Round 2:, 5, 1, 2, 3", "", "The clustering results:", "0, 2", "1, -1"]
     assert io.empty(spark, "n int").count() == 0 and io.from_rows(spark, [(1,)], "n int").count() == 1
 
 
