@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REVIEW = "user_id string, business_id string, stars double, date string"
@@ -38,20 +38,17 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p")[0].cast("bigint").alias("index"), F.col("p")[1].cast("bigint").alias("label"), features.alias("features"))
 
 
-def random_lines(lines: DataFrame, n: int, seed: int, order: str = "value") -> DataFrame:
-    """n lines drawn uniformly with replacement, as (seq, value): the draws are made up first and then looked up."""
-    spark = lines.sparkSession
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("at long, value string") if order is None else _numbered(lines, order)
+def random_lines(lines: DataFrame, n: int, seed: int) -> DataFrame:
+    """n lines (value) drawn uniformly with replacement, as (seq, value): the draws are made up and then looked up."""
+    numbered = _numbered(lines, "value")
     total = numbered.count()
-    draws = spark.range(n).select(F.col("id").alias("seq"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("at"))
+    draws = lines.sparkSession.range(n).select(F.col("id").alias("seq"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("at"))
     return draws.join(numbered, "at").select("seq", "value")
 
 
 def _numbered(lines: DataFrame, order: str) -> DataFrame:
     """Rows numbered from 0 in a global order, without gathering them in one task: a range sort, and each partition's
     first number from the partitions' sizes."""
-    from pyspark.sql import Window
-
     dealt = lines.select(F.col(order).alias("value")).repartitionByRange("value").withColumn("part", F.spark_partition_id())
     sizes = dealt.groupBy("part").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

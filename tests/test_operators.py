@@ -45,6 +45,8 @@ def test_relational_edge_cases(spark):
     assert [tuple(r) for r in relational.top_average(cities, "city", "stars").collect()] == [("b", 2.0), ("a", 1.0)]
     sizes = relational.partition_sizes(cities, "city", 7).collect()
     assert len(sizes) == 7 and sum(r["n_items"] for r in sizes) == 5
+    report = relational.partition_report(cities, "city", 6)
+    assert report["customized"]["n_partition"] == 6 and sum(report["default"]["n_items"]) == 5
     with pytest.raises(ValueError):
         relational.oriented(cities, 3, "city", "stars")
     a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(2,)], "x int")
@@ -82,6 +84,13 @@ def test_itemsets_against_brute_force(spark):
     assert io.itemset_report(candidates.limit(0), frequent.limit(0)) == "Candidates:\n\n\nFrequent Itemsets:\n"
 
 
+def test_retail_baskets(spark):
+    rows = spark.createDataFrame([("1/1", 7, 10), ("1/1", 7, 10), ("1/1", 7, 9), ("1/2", 7, 10), ("1/1", 8, 1), ("1/1", 8, 2)], "date string, customer_id long, product_id long")
+    out = itemsets.retail_baskets(rows, 1)
+    assert sorted((r["basket"], r["item"]) for r in out.collect()) == [("1/1-7", "10"), ("1/1-7", "9"), ("1/1-8", "1"), ("1/1-8", "2")]
+    assert itemsets.retail_baskets(rows, 2).count() == 0
+
+
 def test_fp_growth_agrees(spark):
     from pyspark.ml.fpm import FPGrowth
 
@@ -147,12 +156,15 @@ def test_predictions_by_definition(spark):
         assert got[u, i] == pytest.approx(want, abs=1e-6)
 
 
-def test_models_and_blend(spark):
+def test_models_and_blend(spark, tmp_path):
     rows = [(u, u % 7, float(u % 5), float(u % 3) if u % 4 else None, float(u % 5)) for u in range(200)]
     data = spark.createDataFrame(rows, "user_id long, item_id long, x double, y double, stars double")
     out = recommend.predict_by_model(data, data.drop("stars"), ["x", "y"], rounds=5, depth=3)
     assert relational.rmse(out.join(data.select("user_id", "stars"), "user_id"), "stars", "prediction").first()[0] < 0.3
     models = recommend.fit_folds(data, ["x", "y"], ["user_id"], folds=2, rounds=3, depth=2)
+    io.save_model(models[0], f"{tmp_path}/model")
+    again = io.load_model(f"{tmp_path}/model").transform(data).select("user_id", "prediction")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, models[0].transform(data).select("user_id", "prediction").collect()))
     assert recommend.predict_by_ensemble(models, data).columns == [*data.columns, "prediction"]
     mixed = recommend.blend(out, out).join(out.select("user_id", F.col("prediction").alias("p")), "user_id")
     assert mixed.filter(F.abs(F.col("prediction") - F.col("p")) > 1e-9).count() == 0
