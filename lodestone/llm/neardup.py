@@ -11,10 +11,12 @@ MISS), so only collisions of that many matter:
   the full sets.
 
 Documents with equal sets are one class from the start, so that copies never form pairs. Lists do not form all pairs
-either: first each member of a list meets the first member it collides with often enough, in lists over BLOCK members a
-few pivots in each of ROUNDS rounds; confirmed links join components, and what a list holds of one component is done,
-since further links inside it change nothing. Then every list compares its members of different components, lists over
-BLOCK members in blocks, the smaller components against all. No partner is capped or dropped.
+either: first each member of a list meets the first member it collides with often enough, in lists over BLOCK members
+one central member (the best of CANDIDATES) in each of ROUNDS rounds; confirmed links join components, and what a list
+holds of one component is done, since further links inside it change nothing. Then every list compares its members of
+different components. Lists over BLOCK members do so in blocks, the members outside the largest component against all:
+signatures tell which members collide with another component at all, and workers compare the full sets of those, each
+pair in the first list that both are in, and return links only. No partner is capped or dropped.
 
 Whether a pair collides often enough is counted on 7 bits of each coordinate, which never miss a collision; the full
 sets decide.
@@ -37,7 +39,9 @@ from pyspark.sql import types as T
 from lodestone.llm.shared import Workspace, size_checked
 
 COORDINATES, MISS = 32, 1e-8
-PIVOTS, ROUNDS, BLOCK = 6, 2, 64
+CANDIDATES, ROUNDS, BLOCK = 8, 2, 64
+#: Members, and items of their sets, that a block of full sets holds on average at most.
+SET_BLOCK, SET_ITEMS = 512, 1_000_000
 #: Bits kept of a coordinate, and coordinates in one long.
 BITS, LANES = 7, 8
 #: The classes whose full sets are needed are sent to the scan of texts up to so many ids; more are joined.
@@ -238,14 +242,17 @@ def _list_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates:
 
 
 def _pivot_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, seed: int) -> DataFrame:
-    """Members of a list beside its pivots of another component, if they collide often enough. Pivots are the least
-    under hash functions that all lists share, so lists with much the same members take the same pivots."""
-    chosen = posted.groupBy("v").agg(*[F.min(F.struct(F.xxhash64(F.lit(seed * PIVOTS + j), "node"), F.col("node").alias("p"), F.col("comp").alias("pc"))).alias(f"_{j}") for j in range(PIVOTS)])
-    chosen = chosen.select("v", F.explode(F.array_distinct(F.array(*[F.struct(f"_{j}.p", f"_{j}.pc") for j in range(PIVOTS)]))).alias("s")).select("v", "s.*")
-    met = posted.join(chosen, "v").filter("comp <> pc")
-    met = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    side = lambda c: packs.select(F.col("node").alias(c), F.col("pack").alias(f"{c}_pack"))
-    return met.join(side("a"), "a").join(side("b"), "b").filter(_agreeing(F.col("a_pack"), F.col("b_pack"), coordinates) >= matches).select("a", "b")
+    """Members of a list beside its pivot, if of another component and colliding often enough. The candidates are the
+    least under hash functions that all lists share, so lists with much the same members take the same pivot: the one
+    that agrees most with the other candidates."""
+    rows = posted.join(packs, "node")
+    picks = [F.min(F.struct(F.xxhash64(F.lit(seed * CANDIDATES + j), "node").alias("h"), "node", "comp", "pack")).alias(f"_{j}") for j in range(CANDIDATES)]
+    chosen = rows.groupBy("v").agg(*picks).select("v", F.array(*[f"_{j}" for j in range(CANDIDATES)]).alias("_c"))
+    central = F.transform("_c", lambda x: F.struct(F.aggregate("_c", F.lit(0), lambda t, y: t + _agreeing(x["pack"], y["pack"], coordinates).cast("int")).alias("t"), x["node"].alias("p"), x["comp"].alias("pc"), x["pack"].alias("pp")))
+    chosen = chosen.select("v", F.array_max(central).alias("_best")).select("v", "_best.p", "_best.pc", "_best.pp")
+    near = (F.col("comp") != F.col("pc")) & (_agreeing(F.col("pack"), F.col("pp"), coordinates) >= matches)
+    met = rows.withColumnRenamed("v", "_v").join(chosen, (F.col("_v") == F.col("v")) & near)
+    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def _large(posted: DataFrame) -> DataFrame:
@@ -253,12 +260,16 @@ def _large(posted: DataFrame) -> DataFrame:
     return posted.join(posted.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("v"), "v")
 
 
-def _block_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int) -> DataFrame:
-    """All colliding pairs of different components of a list: the members outside a list's largest component against
-    all members, in blocks of about BLOCK."""
+def _split(posted: DataFrame) -> DataFrame:
+    """Postings with whether a member is outside its list's largest component (_minor)."""
     sizes = posted.groupBy("v", "comp").count()
     largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("_big"), F.sum("count").alias("_all"))
-    rows = posted.join(largest, "v").withColumn("_minor", F.col("comp") != F.col("_big")).join(packs, "node")
+    return posted.join(largest, "v").withColumn("_minor", F.col("comp") != F.col("_big"))
+
+
+def _colliding(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, work: Workspace) -> DataFrame:
+    """The postings (v, node) of members that collide often enough with a member of another component of the list."""
+    rows = work.keep(_split(posted), "sides").join(packs, "node")
     rows = rows.withColumn("_c", F.pmod(F.xxhash64("node"), F.ceil(F.col("_all") / BLOCK)))
     member = F.struct("node", "comp", "pack")
     every = rows.groupBy("v", "_c").agg(F.collect_list(member).alias("right"))
@@ -271,8 +282,8 @@ def _block_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates:
         import pyarrow as pa
 
         for batch in batches:
-            got: set[tuple[int, int]] = set()
-            for left, right in zip(batch.column(0), batch.column(1)):
+            found: set[tuple[int, int]] = set()
+            for v, left, right in zip(*(batch.column(i) for i in range(3))):
                 sides = []
                 for values in (left.values, right.values):
                     node, comp, pack = values.flatten()
@@ -282,11 +293,71 @@ def _block_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates:
                 for i in range(longs):
                     x = xs[:, i, None] ^ ys[None, :, i]
                     agree -= np.bitwise_count((((x & low) + low) | x) & top)
-                for i, j in zip(*np.nonzero((agree >= matches) & (xc[:, None] != yc[None, :]))):
-                    got.add((int(min(xn[i], yn[j])), int(max(xn[i], yn[j]))))
-            yield pa.record_batch([pa.array([p[i] for p in got], pa.int64()) for i in range(2)], names=["a", "b"])
+                hit = (agree >= matches) & (xc[:, None] != yc[None, :])
+                found.update((v.as_py(), int(k)) for k in np.concatenate([xn[hit.any(axis=1)], yn[hit.any(axis=0)]]))
+            yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["v", "node"])
+
+    return minor.join(every, "v").select("v", "left", "right").mapInArrow(compare, "v long, node long").distinct()
+
+
+def _block_links(posted: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """Links (a, b) between the different components of each list, by comparing full sets in blocks."""
+    rows = work.keep(_split(posted).join(sets.select("node", F.size("items").alias("_size")), "node"), "split")
+    own = rows.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # at most one per coordinate
+    blocks = lambda count, items: F.ceil(F.greatest(count / SET_BLOCK, items / SET_ITEMS)).cast("long")
+    number = rows.groupBy("v").agg(
+        blocks(F.count("*"), F.sum("_size")).alias("_right"),
+        F.greatest(blocks(F.count_if("_minor"), F.sum(F.when(F.col("_minor"), F.col("_size")))), F.lit(0).cast("long")).alias("_left"),
+    )
+    rows = rows.join(number.filter("_left > 0"), "v")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cols = ["v", "node", "comp"]
+    left = rows.filter("_minor").select(*cols, F.lit(True).alias("l"), deal("_left").alias("_x"), every("_right").alias("_y"))
+    right = rows.select(*cols, F.lit(False).alias("l"), every("_left").alias("_x"), deal("_right").alias("_y"))
+
+    def verify(key, table):
+        import pyarrow as pa
 
-    return minor.join(every, "v").select("left", "right").mapInArrow(compare, "a long, b long").distinct()
+        v = key[0].as_py()
+        left = table.column("l").to_numpy()
+        nodes, comps = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        x, y = np.flatnonzero(left), np.flatnonzero(~left)
+        sizes = table.column("items").combine_chunks().value_lengths().to_numpy()
+        common = _shared(table.column("items"), x, y)
+        linked = 100 * common >= percent * (sizes[x][:, None] + sizes[y][None, :] - common)
+        linked &= comps[x][:, None] != comps[y][None, :]
+        linked &= _shared(table.column("vs"), x, y, below=v) == 0  # else an earlier list has the pair
+        i, j = np.nonzero(linked)
+        a, b = nodes[x[i]], nodes[y[j]]
+        return pa.table({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64")})
+
+    placed = left.unionByName(right).join(sets.select("node", "items"), "node").join(own, "node")
+    return placed.groupBy("v", "_x", "_y").applyInArrow(verify, "a long, b long").distinct()
+
+
+def _shared(column, x: np.ndarray, y: np.ndarray, below: int | None = None, width: int = 8192) -> np.ndarray:
+    """How many values (under `below`) the lists x of a column share with the lists y, by products of 0-1 matrices."""
+    lists = column.combine_chunks()
+    values, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    if below is not None:
+        owner, values = owner[values < below], values[values < below]
+    side = np.full(len(lists), -1)
+    side[x] = np.arange(len(x))
+    in_x = side[owner] >= 0
+    both = np.intersect1d(values[in_x], values[~in_x])
+    keep = np.isin(values, both, assume_unique=False)
+    values, owner, in_x = np.searchsorted(both, values[keep]), owner[keep], in_x[keep]
+    place = np.empty(len(lists), "int64")
+    place[x], place[y] = np.arange(len(x)), np.arange(len(y))
+    out = np.zeros((len(x), len(y)), "int64")
+    for a in range(0, len(both), width):
+        here = (values >= a) & (values < a + width)
+        p, q = np.zeros((len(x), width), "float32"), np.zeros((len(y), width), "float32")
+        p[place[owner[here & in_x]], values[here & in_x] - a] = 1
+        q[place[owner[here & ~in_x]], values[here & ~in_x] - a] = 1
+        out += (p @ q.T).astype("int64")
+    return out
 
 
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES, carry: list[str] | None = None) -> DataFrame:
@@ -323,18 +394,24 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         if pairs.isEmpty():
             return
         state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        if state["sets"] is not None:
-            need = need.join(state["sets"].select("node"), "node", "left_anti")
-        need = work.keep(need.join(rows, "node"), f"need_{name}")
-        if not need.isEmpty():
-            more = work.keep(_full_sets(docs, key, text, need, width), f"sets_{name}")
-            state["sets"] = more if state["sets"] is None else state["sets"].union(more)
+        fetch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), name)
         items = lambda c: state["sets"].select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
         full = pairs.join(items("a"), "a").join(items("b"), "b")
         full = full.withColumn("_common", F.size(F.array_intersect("a_items", "b_items")))
         linked = full.filter(100 * F.col("_common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("_common"))).select("a", "b")
-        linked = work.keep(linked, f"edges_{name}")
+        join(work.keep(linked, f"edges_{name}"), name)
+
+    def fetch(nodes: DataFrame, name: str) -> None:
+        """Read the full sets of the nodes that have none yet."""
+        if state["sets"] is not None:
+            nodes = nodes.join(state["sets"].select("node"), "node", "left_anti")
+        need = work.keep(nodes.join(rows, "node"), f"need_{name}")
+        if not need.isEmpty():
+            more = work.keep(_full_sets(docs, key, text, need, width), f"sets_{name}")
+            state["sets"] = more if state["sets"] is None else state["sets"].union(more)
+
+    def join(linked: DataFrame, name: str) -> None:
+        """Join the components of linked pairs."""
         if not linked.isEmpty():
             state["edges"] = linked if state["edges"] is None else state["edges"].union(linked)
             state["labels"] = components(state["edges"], work, f"comp_{name}")
@@ -352,9 +429,13 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     confirm(_list_pairs(still_open("first"), small, matches, coordinates, True), "first")
     posted = still_open("rest")
     confirm(_list_pairs(posted, small, matches, coordinates, False), "rest")
-    posted = work.keep(_large(posted), "blocks")
+    posted = work.keep(_large(still_open("blocks")), "blocks")
     if not posted.isEmpty():
-        confirm(_block_pairs(posted, small, matches, coordinates), "blocks")
+        colliding = work.keep(_colliding(posted, small, matches, coordinates, work), "colliding")
+        if not colliding.isEmpty():
+            fetch(colliding.select("node").distinct(), "blocks")
+            met = work.keep(posted.join(colliding, ["v", "node"]).select("v", "node", "comp"), "met")
+            join(work.keep(_block_links(met, state["sets"], percent, work), "edges_blocks"), "blocks")
     labels = state["labels"]
 
     named_by = classes.select("node", "digest", "rep")
@@ -384,3 +465,28 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wid
     match = (F.col(place[key]) == F.col("_id")) & (F.col("_sum") == F.col("_fsum"))
     worded = inner.filter(~wordless).join(first, match, "left_semi").dropDuplicates([place[key], "_sum"])
     return inner.filter(wordless).unionByName(worded).select(*[F.col(p).alias(c) for c, p in place.items()])
+
+
+def oracle(width: int = 2, percent: int = 80) -> str:
+    """The same components in SQL, by comparing all documents that share a shingle."""
+    upper, words = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x20\x09-\x0D]+"
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(width))
+    return f"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{words}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT row_id, doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: {gram}) END) AS g FROM texts
+), sizes AS (SELECT row_id, count(*) AS n FROM shingles GROUP BY row_id),
+shared AS (
+  SELECT a.row_id AS x, b.row_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.row_id < b.row_id
+  WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.row_id = x JOIN sizes q ON q.row_id = y WHERE 100 * c >= {percent} * (p.n + q.n - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT row_id AS x, row_id AS y FROM texts UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x
+), least AS (SELECT reach.x AS row_id, min(t.doc_id) AS component_id FROM reach JOIN texts t ON t.row_id = reach.y GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, t.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM texts t JOIN least USING (row_id) LEFT JOIN sizes USING (row_id)
+"""

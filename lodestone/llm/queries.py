@@ -121,4 +121,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.oracle(),
     "op4_poisson_mixing": mixing.oracle(),
+    "op5_minhash_neardup": neardup.oracle(),
 }

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import neardup, queries
+from tests.llm.oracle import same
 
 
 def shingles(text, width):
@@ -78,6 +79,7 @@ def test_components_against_all_pairs(spark, width):
 def test_lists_in_blocks_find_the_same(spark, monkeypatch, rounds, block):
     monkeypatch.setattr(neardup, "ROUNDS", rounds)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 40)
     rows = corpus(7, 20)
     out = neardup.find(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=repr) == brute(rows, 2)
@@ -119,3 +121,7 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op5_minhash_neardup(spark, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=repr) == brute(rows, 2)
+
+
+def test_query_against_sql(spark):
+    assert len(same(spark, queries.op5_minhash_neardup, queries.ORACLE_SQL["op5_minhash_neardup"], "/root/testdata/sf0.001")) == 200
