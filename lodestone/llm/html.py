@@ -52,7 +52,7 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs "
     "sidebar sidebars footer cookie cookies consent gdpr notice notices notification notifications popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations teaser teasers comment comments respond reply replies disqus discussion banner masthead topbar toolbar "
+    "share sharing social related recommended recommendations teasers comment comments respond reply replies disqus discussion banner masthead topbar toolbar "
     "pagination pager skip alert alerts disclaimer paywall feedback rating search".split()
 )
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
