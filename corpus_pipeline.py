@@ -17,8 +17,9 @@ from lodestone.llm import langid, mixing, neardup, packing, secrets
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.shared import Workspace, table
 
-#: A document whose language is less certain is rejected, as is one without letters.
-LEAST_SCORE = 0.5
+#: A document whose likeliest language is less certain is rejected, as is one without letters. Texts that switch between
+#: two or three learned languages are above it.
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
