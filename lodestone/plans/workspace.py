@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,14 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
 BROADCAST_ROWS = 50_000
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it lies, whatever folder the session was started in."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 class Workspace:
     """A folder of its own below spark.checkpoint.dir for an operator's intermediate tables.
 
@@ -22,6 +32,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        reach_workers(spark)
         top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
         self.spark, self.path = spark, f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
