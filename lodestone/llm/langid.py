@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.shared import by_length, hash_fraction, size_checked
+from lodestone.plans.workspace import reach_workers
 
 UNKNOWN = "und"
 TRAIN_DOCS, TRAIN_CHARS = 800, 20_000
@@ -328,6 +329,7 @@ def label(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
     place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*place.values()).select(*[place[c] for c in names], F.col(place[text]).cast("string").alias("_text"))
     schema = T.StructType([*inner.schema.fields[:-1], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    reach_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -78,7 +78,7 @@ def _bin_id(level: int, cell: int, number: int) -> int:
 
 
 def _round(level: int, capacity: int, fan_in: int):
-    def pack(key, items: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["size", "item"], ascending=False)  # one result however rows arrive
         bins, offsets, fills = best_fit(items["size"].tolist(), capacity)
         up = passed_on(fills, capacity, fan_in)
