@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from pathlib import Path
 from urllib.parse import urlparse
@@ -28,13 +30,16 @@ class Workspace:
     """A folder of its own below spark.checkpoint.dir for an operator's intermediate tables.
 
     A written table cuts lineage and outlives the executor that wrote it. drop() removes tables that nothing reads
-    any more; what the returned DataFrame reads stays until the folder is emptied by its owner.
+    any more; what the returned DataFrame reads stays until the folder is emptied by its owner (a folder of our own, at
+    the end of the process).
     """
 
     def __init__(self, spark: SparkSession, label: str):
         reach_workers(spark)
-        top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-        self.spark, self.path = spark, f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        self.spark, self.path = spark, f"{(given or LOCAL_CHECKPOINTS).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not given:
+            atexit.register(shutil.rmtree, self.path, ignore_errors=True)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table of this folder and read it back."""
