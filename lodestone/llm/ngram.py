@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.neardup import word_hashes
-from lodestone.llm.shared import Workspace
+from lodestone.llm.shared import Workspace, by_length
 
 #: Distinct entries that a task gathers before it combines them, documents to a shard of words, pairs to a shard.
-GATHER, DOCS_PER_SHARD, TOKENS_PER_SHARD = 4_000_000, 32_768, 4_000_000
+GATHER, DOCS_PER_SHARD, TOKENS_PER_SHARD = 3_000_000, 32_768, 3_000_000
 END = np.uint64(0x454E44)  # no text has a word of this hash but by a chance of 2**-64
 _M = np.uint64(0x9E3779B97F4A7C15)
 _IDS = np.uint64(32)
@@ -130,9 +130,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(float(k), max(0.0, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a batch's tokens, each text's end token included, and where each text begins."""
-    rows = [word_hashes(t.as_py()) for t in column]
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' tokens, each text's end token included, and where each text begins."""
+    rows = [word_hashes(t) for t in texts]
     lengths = np.array([len(r) + 1 for r in rows], "int64")
     begins = np.cumsum(lengths) - lengths
     out = np.full(int(lengths.sum()), END, "uint64")
@@ -217,8 +217,7 @@ def _combined(batches, keys_of, shard_of, kind: str):
     when too many have gathered."""
     loose, size = [], 0
     keys, counts = np.empty(0, "uint64"), np.empty(0, "uint64")
-    for batch in batches:
-        new = keys_of(batch)
+    for new in (keys_of(run) for batch in batches for run in by_length(batch.column(0).to_pylist())):
         loose.append(new)
         size += len(new)
         if size >= GATHER // 2:
@@ -248,7 +247,7 @@ def train(texts: DataFrame, work: Workspace) -> Model:
     bits = max(3, math.ceil(math.log2(max(1, n_texts / DOCS_PER_SHARD))))
 
     def words(batches):
-        return _combined(batches, lambda b: _tokens(b.column(0))[0], lambda k: k >> np.uint64(64 - bits), "words")
+        return _combined(batches, lambda run: _tokens(run)[0], lambda k: k >> np.uint64(64 - bits), "words")
 
     def write_words(key, table):
         import pyarrow as pa
@@ -277,8 +276,8 @@ def train(texts: DataFrame, work: Workspace) -> Model:
     def pairs(batches):
         reader = Reader(model)
 
-        def keys_of(batch):
-            hashes, starts = _tokens(batch.column(0))
+        def keys_of(run):
+            hashes, starts = _tokens(run)
             distinct, at = np.unique(hashes, return_inverse=True)
             return reader.pair_keys(reader.places(distinct)[at], starts)
 
@@ -353,10 +352,10 @@ def _discount(counts: np.ndarray, d: tuple) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3).astype("int64")]
 
 
-def score_batch(reader: Reader, column) -> dict[str, np.ndarray]:
-    """n_tokens, n_known, base_score and score of a batch of texts."""
+def score_texts(reader: Reader, texts: list[str | None]) -> dict[str, np.ndarray]:
+    """n_tokens, n_known, base_score and score of texts."""
     m = reader.model
-    hashes, begins = _tokens(column)
+    hashes, begins = _tokens(texts)
     distinct, at = np.unique(hashes, return_inverse=True)
     places = reader.places(distinct)
     count = reader.per_word("word_counts", places, "<u8").astype("float64")
@@ -404,7 +403,8 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
         reader = Reader(model)
         for batch in batches:
-            found = score_batch(reader, batch.column(1))
+            runs = [score_texts(reader, run) for run in by_length(batch.column(1).to_pylist())] or [score_texts(reader, [])]
+            found = {n: np.concatenate([r[n] for r in runs]) for n in runs[0]}
             found["perplexity"] = 10 ** np.minimum(-found["score"] / np.maximum(found["n_tokens"], 1), 300)
             yield pa.record_batch([batch.column(0), *[pa.array(found[f.name]) for f in schema.fields[1:]]], names=schema.names)
 

@@ -77,9 +77,7 @@ def test_probabilities_add_up(spark, tmp_path):
     words = sorted({w for _, t in rows for w in tokens(t) if w})
     for h in ("w1", "w7"):  # texts 'h w' and 'h' differ by p(w | h) p(end | w) / p(end | h)
         def p(text):
-            import pyarrow as pa
-
-            return 10 ** ngram.score_batch(ngram.Reader(model), pa.array([text]))["score"][0]
+            return 10 ** ngram.score_texts(ngram.Reader(model), [text])["score"][0]
 
         ends = {w: p(f"{w}") for w in [*words, h, "unknown-word"]}
         begins = p(h)
@@ -93,12 +91,10 @@ def test_probabilities_add_up(spark, tmp_path):
 
 def first(model, w):
     """p(w | begin)"""
-    import pyarrow as pa
-
     reader = ngram.Reader(model)
-    whole = 10 ** ngram.score_batch(reader, pa.array([w]))["score"][0]
+    whole = 10 ** ngram.score_texts(reader, [w])["score"][0]
     # p(end | w) from a text with w doubled: p(w) p(w|w) p(end|w) and tripled
-    a, b = (10 ** ngram.score_batch(reader, pa.array([t]))["score"][0] for t in (f"{w} {w}", f"{w} {w} {w}"))
+    a, b = (10 ** ngram.score_texts(reader, [t])["score"][0] for t in (f"{w} {w}", f"{w} {w} {w}"))
     step = b / a  # p(w | w)
     end = _end(model, reader, w)
     assert step > 0
