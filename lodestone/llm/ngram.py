@@ -11,8 +11,8 @@ words' places in it. Workers map these files into memory and look up the sorted
 n(. w) counts the words that w has followed, gamma hands on what the discounts took; an unknown word has n = 0, an
 unknown history leaves p(w). A text begins after a mark of its own and ends with an end token.
 
-The model has order 2: with a vocabulary that grows like this one, nearly all longer n-grams are unique, and counting
-them takes more than the disk that this operator may use.
+The model has order 2: with a vocabulary that grows like this one, most longer n-grams should be unique, and counting
+them would take more than the disk that this operator may use (an estimate; it was not measured).
 
 Defined results: null and empty text is the end token alone. Repeated rows count as often as they occur. Without
 training texts every token is unknown and p = 1. Columns other than the named ones are not carried.
