@@ -1,8 +1,8 @@
 """Secret scans: multipart credential linking.
 
 Strong spans (assignments, access identifiers, long hex runs) stand by themselves. Weak candidates - plain user or key
-identifiers, opaque tokens, endpoints - say little alone; an interval join finds those which lie within `reach` code
-points of a complementary part in the same document, and only these are reported.
+identifiers, opaque tokens, endpoints - say little alone; an interval join finds those with a gap of at most `reach` code
+points to a complementary part in the same document, and only these are reported.
 
 Defined results: null or empty text has no spans. Repeated rows are scanned one by one (a row number, not doc_id, ties
 the parts of a row together), null ids too. Overlapping spans are all reported. Extra columns are carried through;
@@ -11,7 +11,7 @@ this module's own column names start with an underscore.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.shared import Workspace
@@ -102,29 +102,24 @@ def spans_of(text: Column, kind: str) -> Column:
 def link_parts(parts: DataFrame, scope: list[str], reach: int = REACH) -> DataFrame:
     """Interval join of credential parts within scopes.
 
-    parts: the scope's columns, start, kind, end. Returns the weak candidates that have a complementary part in their
-    scope whose start is at most reach away. Starts are dealt into buckets of reach code points; per scope, bucket and
-    part only the least and the greatest start are needed, as every part in the candidate's own bucket is in reach and
-    the nearest one of a neighbouring bucket is its greatest or least. So a candidate meets at most 3 buckets x 3 parts,
-    however many parts a scope holds.
+    parts: the scope's columns, start, kind, end. Returns the weak candidates with a complementary part in their scope
+    at a gap of at most reach: the later one's start less the earlier one's end, 0 if they overlap. One sweep over each
+    scope and part: parts stand at their starts, and a candidate asks at its end plus reach, where the greatest end of
+    the parts met so far must not be more than reach before its start. However long a part is, it counts to its end,
+    and however many parts a scope holds, no pairs are formed.
     """
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     part = F.element_at(F.create_map(*[F.lit(x) for kv in PART.items() for x in kv]), name)
-    placed = parts.withColumn("_part", part).withColumn("_bucket", F.floor(F.col("start") / reach))
-    anchors = placed.groupBy(*scope, "_bucket", "_part").agg(F.min("start").alias("_least"), F.max("start").alias("_most"))
     wanted = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("k"), F.lit(p).alias("p")) for k, ps in COMPLEMENTS.items() for p in ps])
-    weak = placed.filter(F.col("kind") >= len(BASE_KINDS))
-    asks = (
-        weak.withColumn("_want", F.explode(F.transform(F.filter(wanted, lambda w: w["k"] == F.col("kind")), lambda w: w["p"])))
-        .withColumn("_step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-        .select(*scope, "start", "kind", "end", F.col("_want").alias("_part"), "_step", (F.col("_bucket") + F.col("_step")).alias("_bucket"))
+    stands = F.struct(part.alias("part"), F.lit(0).alias("asks"), F.col("start").alias("at"), F.col("end").alias("stands_to"))
+    asks = F.transform(
+        F.filter(wanted, lambda w: w["k"] == F.col("kind")),
+        lambda w: F.struct(w["p"].alias("part"), F.lit(1).alias("asks"), (F.col("end") + reach).alias("at"), F.lit(None).cast("long").alias("stands_to")),
     )
-    near = (
-        (F.col("_step") == 0)
-        | ((F.col("_step") == -1) & (F.col("start") - F.col("_most") <= reach))
-        | ((F.col("_step") == 1) & (F.col("_least") - F.col("start") <= reach))
-    )
-    return asks.join(anchors, [*scope, "_bucket", "_part"]).filter(near).select(*scope, "start", "kind", "end").distinct()
+    events = parts.select(*scope, "start", "kind", "end", F.explode(F.concat(F.array(stands), asks)).alias("_e")).select(*scope, "start", "kind", "end", "_e.*")
+    sweep = Window.partitionBy(*scope, "part").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.withColumn("_end", F.max("stands_to").over(sweep))
+    return met.filter((F.col("asks") == 1) & (F.col("start") - F.col("_end") <= reach)).select(*scope, "start", "kind", "end").distinct()
 
 
 def overlaps(a: Column, spans: Column) -> Column:

@@ -102,3 +102,33 @@ def test_query_digest(spark, tmp_path):
     r = queries.op1_secret_scan(spark, str(tmp_path)).collect()[0]
     base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute(TEXTS[2]))
     assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and r["spans"].startswith(base.split(",")[0])
+
+
+@pytest.mark.parametrize("size", [200, 1000])
+def test_reach_is_the_gap_behind_long_secrets(spark, size):
+    long = "Ab3" * (size // 3)
+    texts = [
+        f"token={long} user=alice",
+        f"token={long} and so on https://db.example.org/x",
+        f"login: carol {long}",
+        f"https://db.example.org/x {long}",
+        f"token={long} " + "x" * secrets.REACH + " user=far",
+        "user=far " + "x" * secrets.REACH + f" token={long}",
+        f"token={long} " + "x" * (secrets.REACH - 2) + " user=near",
+        f"{long} user=one password={long} user=two",
+    ]
+    part = {i: secrets.PART[k] for i, k in enumerate(secrets.KINDS)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    everything = F.sort_array(F.concat(*[secrets.spans_of(F.col("text"), k) for k in secrets.KINDS])).alias("all")
+    whole = {r["doc_id"]: r["all"] for r in docs.select("doc_id", everything).collect()}
+    kinds = {}
+    for r in secrets.scan(docs).collect():
+        base = [tuple(s) for s in r["_base"]]
+        weak = [tuple(s) for s in whole[r["doc_id"]] if s["kind"] >= 3 and not any(a < s["end"] and s["start"] < b for a, _, b in base)]
+        gap = lambda a, b: max(0, b[0] - a[2], a[0] - b[2])
+        want = [w for w in weak if any(part[p[1]] in secrets.COMPLEMENTS[secrets.KINDS[w[1]]] and gap(p, w) <= secrets.REACH for p in base + weak)]
+        assert [tuple(s) for s in r["_spans"]] == sorted(base + want)
+        kinds[r["doc_id"]] = [secrets.KINDS[s["kind"]] for s in r["_spans"]]
+    assert [kinds[i] for i in range(7)] == [["assign", "ident"], ["assign", "endpoint"], ["ident", "opaque"], ["endpoint", "opaque"], ["assign"], ["assign"], ["assign", "ident"]]
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
+    assert masked[0] == "[SECRET] [SECRET]"
