@@ -18,7 +18,6 @@ SUPPORT_SHARE = 0.05
 #: Words that take a part's name to a category, as descriptions do.
 PART_WORDS = ["ring", "widget", "bolt", "gear", "red", "blue", "small", "hot"]
 FEATURES = ["p_retailprice", "p_size", "c_acctbal", "avg_star_category", "review_count_user"]
-MODEL = dict(rounds=10, depth=4)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -326,7 +325,7 @@ def _model_rows(spark, sf_dir):
 
 def _by_model(spark, sf_dir):
     train, targets = _model_rows(spark, sf_dir)
-    return recommend.predict_by_model(train, targets, FEATURES, **MODEL).select("user_id", "item_id", "prediction")
+    return recommend.predict_by_model(train, targets, FEATURES).select("user_id", "item_id", "prediction")
 
 
 @query()
@@ -342,7 +341,7 @@ def hybrid_predict(spark, sf_dir):
 @query()
 def kfold_ensemble(spark, sf_dir):
     train, targets = _model_rows(spark, sf_dir)
-    models = recommend.fit_folds(train, FEATURES, ["user_id", "item_id"], folds=3, **MODEL)
+    models = recommend.fit_folds(train, FEATURES, ["user_id", "item_id"])
     return recommend.predict_by_ensemble(models, targets).select("user_id", "item_id", "prediction")
 
 

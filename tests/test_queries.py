@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodestone.operators import recommend
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
@@ -17,3 +18,20 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name,fits", [("gbt_predict", 1), ("hybrid_predict", 1), ("kfold_ensemble", 10)])
+def test_boosted_queries_fit_whole_models(spark, monkeypatch, name, fits):
+    """Registered with the operators' own rounds, depth and folds; the fits themselves are cut short here."""
+    asked, boosted = [], recommend.boosted
+
+    def short(*args, **options):
+        pipeline = boosted(*args, **options)
+        trees = pipeline.getStages()[-1]
+        asked.append((trees.getMaxIter(), trees.getMaxDepth()))
+        trees.setMaxIter(1).setMaxDepth(1)
+        return pipeline
+
+    monkeypatch.setattr(recommend, "boosted", short)
+    assert QUERIES[name](spark, FOLDER).count() > 0
+    assert asked == [(100, 6)] * fits
