@@ -17,9 +17,9 @@ from lodestone.llm import langid, mixing, neardup, packing, secrets
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.shared import Workspace, table
 
-#: A document whose likeliest language is less certain is rejected, as is one without letters. Texts that switch between
-#: two or three learned languages are above it.
-LEAST_SCORE = 0.3
+#: A document is rejected if a smaller share of its words' features was met in training, as is one without letters.
+#: The score is not asked: it compares the learned languages with each other, and texts may switch between them.
+LEAST_KNOWN = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = docs.columns
     place = [f"c{i}" for i in range(len(names))]
     at = dict(zip(names, place))
-    found = langid.identify(docs.toDF(*place), F.lit(True), key=at["doc_id"], text=at["text"], lang=at["lang"])
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*place).toDF(*names)
+    found = langid.identify(docs.toDF(*place), F.lit(True), key=at["doc_id"], text=at["text"], lang=at["lang"], evidence=True)
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") >= LEAST_KNOWN)).select(*place).toDF(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,14 @@ class Model:
             out[a : a + WORDS] = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -50))
         return out
 
+    def known(self, words: list[str]) -> np.ndarray:
+        """Share of each word's features that training met; a bucket that it did not meet keeps the weight 0."""
+        met, out = self.weights.any(axis=1), np.empty(len(words))
+        for a in range(0, len(words), WORDS):
+            at, begins = features(words[a : a + WORDS], len(self.weights))
+            out[a : a + WORDS] = np.add.reduceat(met[at].astype("float64"), begins) / np.diff(np.append(begins, len(at)))
+        return out
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
@@ -300,6 +308,17 @@ class Labeller:
                 out.append((UNKNOWN, 0.0))
         return out
 
+    def known(self, texts: list[str | None]) -> list[float]:
+        """Mean share of known features over the words of each text; 0 without a word. Unlike the score, it does not
+        compare languages: it is high in any mixture of learned ones and low in others, whichever they resemble most."""
+        out = []
+        for run in by_length(texts):
+            owns = [[p for p in map(plain, (t or "").split()) if p] for t in run]
+            place = {w: i for i, w in enumerate(dict.fromkeys(w for own in owns for w in own))}
+            share = self.model.known(list(place)) if self.model.langs else np.zeros(len(place))
+            out += [float(share[[place[w] for w in own]].mean()) if own else 0.0 for own in owns]
+        return out
+
     def words(self, text: str) -> list[tuple[str, str]]:
         """Each word of a text with its own most probable language; `und` for words without letters."""
         parts = text.split()
@@ -323,12 +342,14 @@ def train(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str =
     return fit([(r["_text"], r["_lang"]) for r in picked.orderBy("_u", "_text").limit(4 * docs_wanted).select("_text", "_lang").collect()])
 
 
-def label(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (or those in keep) with lang_pred and score, which replace input columns of these names."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+def label(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, evidence: bool = False) -> DataFrame:
+    """The columns of docs (or those in keep) with lang_pred, score and, with evidence, known, which replace input
+    columns of these names."""
+    added = ["lang_pred", "score", *["known"] * evidence]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*place.values()).select(*[place[c] for c in names], F.col(place[text]).cast("string").alias("_text"))
-    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), *[T.StructField("_known", T.DoubleType())] * evidence])
     reach_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -337,15 +358,17 @@ def label(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
 
         labeller = Labeller(shared.value)
         for batch in batches:
-            found = labeller.label(batch.column(len(names)).to_pylist())
+            texts = batch.column(len(names)).to_pylist()
+            found = labeller.label(texts)
+            more = [pa.array(labeller.known(texts), pa.float64())] if evidence else []
             yield pa.record_batch(
-                [*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*batch.schema.names[: len(names)], "_lang", "_score"],
+                [*batch.columns[: len(names)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), *more],
+                names=[*batch.schema.names[: len(names)], "_lang", "_score", *["_known"] * evidence],
             )
 
-    return inner.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
+    return inner.mapInArrow(run, schema).toDF(*names, *added)
 
 
-def identify(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, evidence: bool = False) -> DataFrame:
     """Train on the allowed labelled rows and label all."""
-    return label(docs, train(docs, allowed, key=key, text=text, lang=lang), text=text, keep=keep)
+    return label(docs, train(docs, allowed, key=key, text=text, lang=lang), text=text, keep=keep, evidence=evidence)

@@ -62,3 +62,24 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = cp.identify_language(spark, docs, "")
     assert kept.count() >= 0.99 * docs.count()
+
+
+def test_unlearned_languages_go_and_mixtures_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    parts = [r["t"] for r in docs.filter("length(text) > 2000").groupBy("lang").agg(F.min(F.substring("text", 1, 400)).alias("t")).orderBy("lang").collect()]
+    assert len(parts) == 4
+    rng = np.random.default_rng(3)
+    gibberish = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10))) for _ in range(60))
+    planted = {
+        -1: "Il governo italiano ha annunciato ieri che la nuova legge sulla scuola sar\u00e0 discussa dal parlamento nelle prossime settimane",
+        -2: "De regering heeft gisteren aangekondigd dat het nieuwe beleid voor het onderwijs in de komende weken wordt besproken met leraren",
+        -3: "Hallitus ilmoitti eilen ett\u00e4 uusi koululaki k\u00e4sitell\u00e4\u00e4n eduskunnassa l\u00e4hiviikkoina",
+        -4: "Rz\u0105d og\u0142osi\u0142 wczoraj \u017ce nowa ustawa o szko\u0142ach b\u0119dzie omawiana w parlamencie",
+        -5: gibberish,
+        -6: " ".join("".join(rng.permutation(list(w))) for w in parts[1].lower().split()),
+        -7: " ".join(parts),
+        -8: " ".join(parts[:2]),
+    }
+    more = spark.createDataFrame([(k, t, None) for k, t in planted.items()], docs.schema)
+    kept = {r["doc_id"] for r in cp.identify_language(spark, docs.unionByName(more), "").collect()}
+    assert {k for k in planted if k in kept} == {-7, -8}
