@@ -75,3 +75,14 @@ def test_empty_tables(spark):
     assert quality.judge(docs, labels).count() == 0
     one = spark.createDataFrame([(1, "a b c", "en")], docs.schema)
     assert quality.judge(one, labels).collect()[0]["kept"] is False
+
+
+@pytest.mark.parametrize("good,certified", [(1750, False), (1751, True)])
+def test_labels_needed_at_the_registered_level(spark, good, certified):
+    """The figure in the README, for one stratum; with four it is 2,305."""
+    rows = spark.range(good + 100).select(
+        F.lit("en").alias("stratum"), (F.col("id") < good).alias("good"), F.lit(60).alias("n_words"), F.lit(240).alias("word_chars"),
+        F.when(F.col("id") < good, 0).otherwise(60).alias("n_symbols"), F.lit(5).alias("n_lines"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"),
+    )
+    found = {r["rule"]: r["cutoff"] for r in quality.cutoffs(rows).collect()}
+    assert ("symbols" in found) == certified
