@@ -6,10 +6,13 @@ part is known (Layers I and III), reads Xing/Info and VBRI tables and the encode
 counts and the byte offset of every audio frame, so that a reader can seek to any frame.
 
 encode() stores bytes losslessly in such a stream: silent Layer III frames whose ancillary bytes hold the payload, the
-last frame at the least bitrate that fits, behind an ID3v2 tag with the payload's size and a Xing frame with its table.
+last of them at the least bitrate that fits, behind an ID3v2 tag with the payload's size and a Xing frame with its table.
+An empty silent frame ends the stream: it is longer than what a reader searches for tags, so that payload which looks
+like one is never at the end.
 
 Defined results: null or empty media has no frames, 0 samples and null rates. Bytes that hold no frame count as junk.
-A frame cut off at the end is junk and marks the stream as truncated. Repeated rows give equal values.
+A frame cut off at the end is junk and marks the stream as truncated. Repeated rows give equal values, ties do not
+arise. Empty tables stay empty. Texts of any length are stored whole. Input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -225,6 +228,7 @@ _OVERHEAD, _SIDE = 4 + 2 + 32, bytes(32)
 _ROOMS = [(3 * k - _OVERHEAD, i + 1) for i, k in enumerate(KBPS[True, 3])]
 _MOST = _ROOMS[-1][0]
 _SIZE_TAG = "payload_bytes"
+_LAST = 144  # the frame behind the payload, at 48 kbit/s; an ID3v1 tag has 128 bytes, an APE footer 32
 
 
 @functools.cache
@@ -240,6 +244,7 @@ def encode(payload: bytes) -> bytes:
     if rest:
         room, rate = next(x for x in _ROOMS if x[0] >= len(rest))
         frames.append(_front(rate) + rest.ljust(room, b"\0"))
+    frames.append(_front(3).ljust(_LAST, b"\0"))
     audio = b"".join(frames)
     first = 192  # the table's own frame, at 64 kbit/s
     total = first + len(audio)

@@ -90,7 +90,7 @@ def test_round_trip(size):
     s = mpeg.parse(data)
     assert mpeg.decode(data, s) == payload
     assert s.table == "Xing" and s.table_ok and s.crc_failed == 0 and s.junk == 0 and s.resyncs == 0
-    assert len(s.frames) == -(-size // 922)
+    assert len(s.frames) == -(-size // 922) + 1
 
 
 def test_decode_after_damage():
@@ -119,3 +119,26 @@ def test_index_replaces_clashing_columns(spark):
     out = {r["doc_id"]: r for r in mpeg.index_media(df).collect()}
     assert out[1]["version"] == "1" and out[1]["seek_offsets"] and out[2]["version"] is None
     assert mpeg.index_media(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX" + b"\xff" * 24, b"ID3\4\0\0\0\0\1\0", b"\xff\xfa\x94\0", b"Xing\0\0\0\7", b"VBRI"])
+def test_payload_that_looks_like_tags_or_frames(mark):
+    """At every offset of the last 300 bytes, for stored lengths of every size of the last frame."""
+    for size in [*range(64, 2048, 64), 922 * 64, 922 * 64 + 64]:
+        for back in range(len(mark), 301):
+            if back > size:
+                break
+            payload = bytearray(b"x" * size)
+            payload[size - back : size - back + len(mark)] = mark
+            data = mpeg.encode(bytes(payload))
+            s = mpeg.parse(data)
+            assert mpeg.decode(data, s) == payload and s.table_ok and not s.junk and not s.resyncs and "ID3v1" not in s.tags and "APE" not in s.tags
+
+
+@pytest.mark.parametrize("mark", ["TAG", "APETAGEX", "ID3"])
+def test_texts_that_end_in_tags(mark):
+    for size in range(len(mark), 2001):
+        for back in {len(mark), 32, 63, 64, 124, 128, size} & set(range(size + 1)):
+            n, payload = mpeg.padded("x" * (size - back) + mark + "x" * (back - len(mark)))
+            data = mpeg.encode(payload)
+            assert n == size and mpeg.decode(data, mpeg.parse(data)) == payload
