@@ -77,12 +77,84 @@ def test_empty_tables(spark):
     assert quality.judge(one, labels).collect()[0]["kept"] is False
 
 
-@pytest.mark.parametrize("good,certified", [(1750, False), (1751, True)])
-def test_labels_needed_at_the_registered_level(spark, good, certified):
-    """The figure in the README, for one stratum; with four it is 2,305."""
-    rows = spark.range(good + 100).select(
-        F.lit("en").alias("stratum"), (F.col("id") < good).alias("good"), F.lit(60).alias("n_words"), F.lit(240).alias("word_chars"),
-        F.when(F.col("id") < good, 0).otherwise(60).alias("n_symbols"), F.lit(5).alias("n_lines"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"),
-    )
-    found = {r["rule"]: r["cutoff"] for r in quality.cutoffs(rows).collect()}
-    assert ("symbols" in found) == certified
+def graded(spark, strata):
+    """Labelled rows: strata maps a name to (good documents by symbols a word, bad documents with 0.5 a word)."""
+    rows = [(name, True, int(60 * x)) for name, (good, _) in strata.items() for x in good] + [(name, False, 30) for name, (_, bad) in strata.items() for _ in range(bad)]
+    made = spark.createDataFrame(rows, "stratum string, good boolean, n_symbols int")
+    return made.withColumns({"n_words": F.lit(60), "word_chars": F.lit(240), "n_lines": F.lit(5), "n_dup_lines": F.lit(0), "n_repeat_words": F.lit(0)})
+
+
+@pytest.mark.parametrize("strata,good,certified", [(1, 118, False), (1, 119, True), (4, 173, False), (4, 174, True)])
+def test_labels_needed_at_the_registered_level(spark, strata, good, certified):
+    """The figures in the docstring and the README. One stratum always fails, so that no level is handed on."""
+    few = {f"s{i}": ([0] * 30, 0) for i in range(strata - 1)}
+    found = {r["stratum"]: r["symbols"] for r in quality.cutoffs(graded(spark, few | {"en": ([0] * good, 40)})).collect()}
+    assert found == ({"en": 0.4} if certified else {})
+
+
+def test_passed_ladders_hand_their_level_on(spark):
+    """130 labels certify at 0.05, not at 0.025: only if the other stratum's ladder passes to its end."""
+    small = {"fr": ([0] * 130, 40)}
+    alone = lambda other: {r["stratum"] for r in quality.cutoffs(graded(spark, small | {None: other})).collect()}
+    assert alone(([0] * 500, 40)) == {None, "fr"}
+    assert alone(([0] * 450 + [0.08] * 50, 40)) == {None}
+
+
+def ladder_in_python(strata, steps, risk, delta):
+    """strata: {name: (number of good documents, those rejected by each step)}; the certified steps of each."""
+    def tail(k, n):
+        return 1.0 if k >= n * risk else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(risk) + (n - i) * math.log1p(-risk)) for i in range(k + 1))
+
+    p = {s: [max(tail(k, n) for k in ks[: j + 1]) for j in range(steps)] for s, (n, ks) in strata.items()}
+    unfinished = set(strata)
+    while passed := {s for s in unfinished if p[s][-1] <= delta / len(unfinished)}:
+        unfinished -= passed
+        if not unfinished:
+            break
+    return {s: [j for j in range(steps) if s not in unfinished or p[s][j] <= delta / len(unfinished)] for s in strata}
+
+
+def test_false_rejections_stay_within_the_risk(spark):
+    """Simulated holdouts of four strata: the strictest certified step exceeds the risk in at most delta of them."""
+    rng, risk, delta, steps = random.Random(8), quality.RISK, quality.DELTA, 16
+    rates = [0.0, 0.0, 0.001, 0.004, 0.01, 0.02, 0.0255, 0.0255, 0.026, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.2]  # true rates by step
+    sizes, runs, wrong, certified = {"a": 250, "b": 400, "c": 900, "d": 2500}, 600, 0, 0
+    for _ in range(runs):
+        strata = {}
+        for s, n in sizes.items():
+            firsts = [next((j for j, r in enumerate(rates) if u < r), steps) for u in (rng.random() for _ in range(n))]
+            strata[s] = (n, [sum(f <= j for f in firsts) for j in range(steps)])
+        found = ladder_in_python(strata, steps, risk, delta)
+        wrong += any(rates[j] > risk for js in found.values() for j in js)
+        certified += all(found.values())
+    assert wrong <= runs * delta + 3 * math.sqrt(runs * delta * (1 - delta)) and certified > runs * 0.9
+
+
+def test_cutoffs_against_python(spark):
+    rng = random.Random(3)
+    cs = quality.RULES["symbols"][1]
+    for _ in range(3):
+        strata = {s: ([rng.choice([0] * 60 + [0.07, 0.2, 0.35]) for _ in range(rng.choice([120, 200, 500, 1500]))], 40) for s in "abcd"}
+        counted = {s: (len(good), [sum(int(60 * x) / 60 > c for x in good) for c in cs]) for s, (good, _) in strata.items()}
+        want = {}
+        for s, js in ladder_in_python(counted, len(cs), quality.RISK, quality.DELTA).items():
+            worth = [(sum(0.5 > c for c in cs[j : j + 1]) * 40 - counted[s][1][j], -j) for j in js]
+            if worth and max(worth)[0] > 0:
+                want[s] = -max(worth)[1]
+        assert {r["stratum"]: r["step"] for r in quality.cutoffs(graded(spark, strata)).collect()} == want
+
+
+def test_the_query_rejects_beyond_the_base_rules(spark):
+    """On the synthetic tables, with the registered parameters: junk goes, documents labelled good stay but for the risk."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    out = queries.op2_quality_rules(spark, folder).filter("NOT base_failed").join(labels, "doc_id", "left")
+    got = {r["q"]: (r["n"], r["gone"]) for r in out.groupBy("q").agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("gone")).collect()}
+    assert got[0][1] > 0.9 * got[0][0] and got[1][1] <= 0.025 * got[1][0] and got[None][1] > 0
+
+
+def test_null_stratum_long_texts_and_clashing_columns(spark):
+    rows = [(1, "w " * 300_000 + "#" * 9, None, "x", 1), (2, "w", "unknown", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, stratum string, kept int")
+    out = {r["doc_id"]: r for r in quality.judge(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()}
+    assert out[1]["n_words"] == 300_001 and out[1]["n_symbols"] == 9 and out[1]["stratum"] is None and out[2]["stratum"] == "unknown"
