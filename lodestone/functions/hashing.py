@@ -71,8 +71,7 @@ def text_mod(text: Column, p: int) -> Column:
 
 def trailing_zeros(x: Column) -> Column:
     """Zeros at the end of a non-negative integer in binary; 0 is the one digit 0 and counts 1."""
-    digits = F.bin(x)
-    return F.length(digits) - F.length(F.rtrim(F.translate(digits, "01", " 1")))
+    return F.when(x == 0, 1).otherwise(F.bit_count(x.bitwiseAND(-x) - 1))
 
 
 def key_long(text: Column) -> Column:

@@ -6,11 +6,13 @@ import math
 from collections import Counter, defaultdict
 from itertools import combinations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 32
+from lodestone.plans.workspace import Workspace
+
+#: Baskets that one task of the first phase holds in memory, at most on average.
+BASKETS = 200_000
 
 
 def retail_baskets(rows: DataFrame, least: int) -> DataFrame:
@@ -25,45 +27,34 @@ def larger_than(baskets: DataFrame, least: int) -> DataFrame:
     return baskets.join(large, "basket", "left_semi")
 
 
-def _next_candidates(frequent: DataFrame) -> DataFrame:
-    """Sets of one more item whose subsets are all frequent: two sets that agree but for their last item are joined,
-    and the other subsets are looked up."""
-    sets = frequent.select("items", F.slice("items", F.lit(1), F.size("items") - 1).alias("head"), F.element_at("items", -1).alias("last"))
-    a, b = sets.alias("a"), sets.alias("b")
-    joined = a.join(b, (F.col("a.head") == F.col("b.head")) & (F.col("a.last") < F.col("b.last")))
-    joined = joined.select(F.col("a.items").alias("prefix"), F.col("b.last").alias("item"), F.concat("a.items", F.array("b.last")).alias("items"))
-    subsets = F.transform("items", lambda x, i: F.concat(F.slice("items", F.lit(1), i), F.slice("items", i + 2, F.size("items"))))
-    parts = joined.select("prefix", "item", "items", F.explode(subsets).alias("part"))
-    known = frequent.select(F.col("items").alias("part"))
-    whole = parts.join(known, "part").groupBy("prefix", "item", "items").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("items"))
-    return whole.select("prefix", "item", "items")
-
-
-def frequent_itemsets(baskets: DataFrame, support: float, most: int = MOST_LEVELS) -> DataFrame:
-    """items (sorted array), n: all itemsets of up to `most` items in at least `support` baskets. Exact.
+def frequent_itemsets(baskets: DataFrame, support: float, most: int | None = None) -> DataFrame:
+    """items (sorted array), n: all itemsets (of up to `most` items, if given) in at least `support` baskets. Exact.
 
-    baskets: basket, item. Every level keeps the occurrences of its frequent sets and extends them by the basket's
-    later items, joined on the basket and on the candidates; the loop ends at the first empty level.
+    baskets: basket, item. Every level keeps where its frequent sets occur (basket, items). Two of them in one basket
+    that agree but for their last item make a set of one more, so that only sets with two frequent subsets are formed,
+    each where it occurs, and nothing is joined across baskets. The loop ends at the first empty level; a level's
+    occurrences are a written table, dropped when the next one is.
     """
+    work = Workspace(baskets.sparkSession, "itemsets")
     pairs = baskets.select("basket", "item").filter(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
-    single = pairs.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
-    level = single.select(F.array("item").alias("items"), "n").persist(StorageLevel.MEMORY_AND_DISK)
-    items = pairs.join(single.select("item"), "item", "left_semi").select("basket", "item")
-    held = items.select("basket", F.array("item").alias("items"))
-    found = [level]
-    for _ in range(1, most):
-        candidates = _next_candidates(level)
-        grown = held.join(candidates, held["items"] == candidates["prefix"]).select("basket", "item", candidates["items"])
-        held = grown.join(items, ["basket", "item"]).select("basket", "items").persist(StorageLevel.MEMORY_AND_DISK)
-        level = held.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= support).persist(StorageLevel.MEMORY_AND_DISK)
-        if level.isEmpty():
-            break
-        found.append(level)
-        held = held.join(level.select("items"), "items", "left_semi")
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    grown = pairs.select("basket", F.array("item").alias("items"))
+    out, size = None, 1
+    while True:
+        grown = work.keep(grown, f"grown{size}")
+        level = work.keep(grown.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= support), f"level{size}")
+        if out is not None and level.isEmpty():
+            return out
+        out = level if out is None else out.unionByName(level)
+        if size == most:
+            return out
+        held = grown.join(level.select("items"), "items", "left_semi")
+        held = held.select("basket", F.slice("items", F.lit(1), F.lit(size - 1)).alias("head"), F.element_at("items", -1).alias("last"))
+        held = work.keep(held, f"held{size}")
+        work.drop(f"grown{size}", *([f"held{size - 1}"] if size > 1 else []))
+        a, b = held.alias("a"), held.alias("b")
+        met = (F.col("a.basket") == F.col("b.basket")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.last") < F.col("b.last"))
+        grown = a.join(b, met).select("a.basket", F.concat("a.head", F.array("a.last", "b.last")).alias("items"))
+        size += 1
 
 
 def itemsets_of(baskets: list[list], support: float) -> list[tuple]:
@@ -94,8 +85,10 @@ def itemsets_of(baskets: list[list], support: float) -> list[tuple]:
 
 def son_candidates(baskets: DataFrame, support: float, partitions: int) -> DataFrame:
     """items: the distinct sets that are frequent in some partition at the threshold scaled to its share of the baskets
-    (not rounded). A superset of the frequent sets; which more there are depends on the partitions."""
+    (not rounded). A superset of the frequent sets; which more there are depends on the partitions, of which there are
+    `partitions` at least and more if one would hold over BASKETS baskets."""
     grouped = baskets.groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    grouped = Workspace(baskets.sparkSession, "son").keep(grouped, "baskets")
     total = grouped.count()
 
     def local(batches):
@@ -105,18 +98,23 @@ def son_candidates(baskets: DataFrame, support: float, partitions: int) -> DataF
         if mine:
             yield pd.DataFrame({"items": [list(s) for s in itemsets_of(mine, support * len(mine) / total)]})
 
-    return grouped.select("items").repartition(partitions).mapInPandas(local, "items array<string>").distinct()
+    return grouped.select("items").repartition(max(partitions, math.ceil(total / BASKETS))).mapInPandas(local, "items array<string>").distinct()
 
 
 def son(baskets: DataFrame, support: float, partitions: int) -> tuple[DataFrame, DataFrame]:
     """Candidates and frequent itemsets (items, n), the candidates counted exactly over all baskets.
 
-    Candidates meet the baskets on their first item and are kept if the rest is contained.
+    Candidates meet the baskets on their rarest item and are kept if the rest is contained, so that an item that is in
+    most baskets brings only the sets in which no other is rarer.
     """
-    candidates = son_candidates(baskets, support, partitions)
-    grouped = baskets.groupBy("basket").agg(F.collect_set("item").alias("held")).select("basket", "held", F.explode("held").alias("first"))
-    sets = candidates.select("items", F.col("items")[0].alias("first"))
-    met = grouped.join(sets, "first").filter(F.size(F.array_except("items", "held")) == 0)
+    work = Workspace(baskets.sparkSession, "son")
+    candidates = work.keep(son_candidates(baskets, support, partitions), "candidates")
+    pairs = work.keep(baskets.select("basket", "item").distinct(), "pairs")
+    often = pairs.groupBy("item").agg(F.count("*").alias("df"))
+    rarest = candidates.select("items", F.explode("items").alias("item")).join(often, "item").groupBy("items").agg(F.min(F.struct("df", "item")).alias("r"))
+    sets = rarest.select("items", F.col("r.item").alias("item"))
+    grouped = pairs.groupBy("basket").agg(F.collect_set("item").alias("held")).select("held", F.explode("held").alias("item"))
+    met = grouped.join(sets, "item").filter(F.size(F.array_except("items", "held")) == 0)
     return candidates, met.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 
 

@@ -1,52 +1,85 @@
-"""Set similarity: exact joins by prefix filters, MinHash signatures and banded candidates."""
+"""Set similarity: exact joins by prefix, position and bitmap filters, MinHash signatures and banded candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import Hash, family
+from lodestone.plans.workspace import Workspace
 
 HASHES, BANDS, SIMILARITY = 100, 30, 0.5
 
 
-def _ranked(sets: DataFrame) -> DataFrame:
-    """key, item, rank (1 for the key's rarest item), n (the key's items)."""
-    pairs = sets.select("key", "item").distinct()
-    often = pairs.groupBy("item").agg(F.count("*").alias("df"))
-    by_key = Window.partitionBy("key")
-    return pairs.join(often, "item").select("key", "item", F.row_number().over(by_key.orderBy("df", "item")).alias("rank"), F.count("*").over(by_key).alias("n"))
+#: Members of a list of postings in one block of its comparison; longs of a set's bitmap.
+BLOCK, LONGS = 512, 8
+_BITS = [f"b{w}" for w in range(LONGS)]
+
+
+def _numbered(sets: DataFrame) -> DataFrame:
+    """key, items (array of long, from the rarest item to the most common), n, and a bitmap of the items' hashes.
+
+    Items are numbered in a written table, so that sets are compared as numbers. Nulls are no keys and no items.
+    """
+    work = Workspace(sets.sparkSession, "similarity")
+    pairs = work.keep(sets.select("key", "item").filter("key IS NOT NULL AND item IS NOT NULL").distinct(), "pairs")
+    numbers = work.keep(pairs.groupBy("item").agg(F.count("*").alias("df")).withColumn("id", F.monotonically_increasing_id()), "numbers")
+    placed = pairs.join(numbers, "item").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(64 * LONGS)))
+    bits = [F.expr(f"bit_or(IF(h DIV 64 = {w}, shiftleft(1L, CAST(h % 64 AS INT)), 0L))").alias(b) for w, b in enumerate(_BITS)]
+    whole = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "id"))).alias("ranked"), *bits)
+    return work.keep(whole.select("key", F.transform("ranked", lambda x: x["id"]).alias("items"), F.size("ranked").cast("long").alias("n"), *_BITS), "sets")
 
 
-def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common, united for candidate pairs."""
-    whole = sets.groupBy("key").agg(F.collect_set("item").alias("items"))
+def _meeting(whole: DataFrame, prefix: Column, enough) -> DataFrame:
+    """a < b, distinct: the keys that share one of their first `prefix` items and may be similar enough.
+
+    enough(n, m, most) tells from two sets' sizes whether `most` shared items would do. How many they share at most
+    follows from the places of the item at which they meet first, and from the bits in which their bitmaps differ.
+    Lists of more than BLOCK postings are dealt to the blocks of a triangle, so that no item is compared in one task.
+    """
+    posts = whole.select("key", "n", *_BITS, F.posexplode(F.slice("items", F.lit(1), prefix.cast("int"))).alias("pos", "id"))
+    long = posts.groupBy("id").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("id", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    posts = posts.join(long, "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    posts = posts.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("left", F.col("n") - F.col("pos"))
+    a = posts.select("*", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("y")).alias("a")
+    b = posts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("x"), F.col("own").alias("y")).alias("b")
+    same = (F.col("a.id") == F.col("b.id")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    once = (F.col("a.x") < F.col("a.y")) | (F.col("a.key") < F.col("b.key"))
+    apart = sum(F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _BITS)
+    n, m = F.col("a.n"), F.col("b.n")
+    may = enough(n, m, F.least(n, m)) & enough(n, m, F.least("a.left", "b.left")) & enough(n, m, F.floor((n + m - apart) / 2))
+    return a.join(b, same & once & may).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+
+
+def _verified(candidates: DataFrame, whole: DataFrame) -> DataFrame:
+    """a, b, common, united for candidate pairs. whole: key, items."""
     side = lambda c: whole.select(F.col("key").alias(c), F.col("items").alias(f"{c}_items"))
     met = candidates.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("a_items", "b_items")).cast("long"))
     return met.select("a", "b", "common", (F.size("a_items") + F.size("b_items") - F.col("common")).cast("long").alias("united"))
 
 
 def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """a < b, similarity: all pairs of keys with Jaccard similarity of at least `least`. Exact.
+    """a < b, similarity: all pairs of keys with Jaccard similarity of at least `least` (above 0, taken as the decimal
+    number that it is written as). Exact, in whole numbers.
 
     Items are ordered from rare to common; two sets that similar share one of the first n - ceil(least n) + 1 items of
-    each, so only those meet, and common items never form lists of pairs.
+    each, so only those meet, and what common items they have is counted for the few pairs that can be similar.
     """
-    prefix = _ranked(sets).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.item") == F.col("b.item")) & (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
-    candidates = a.join(b, fits).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    found = _verified(candidates, sets.select("key", "item").distinct())
-    return found.withColumn("similarity", F.col("common") / F.col("united")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    p, q = Fraction(repr(float(least))).as_integer_ratio()
+    whole = _numbered(sets)
+    prefix = F.col("n") - F.expr(f"(n * {p} + {q - 1}) DIV {q}") + 1
+    found = _verified(_meeting(whole, prefix, lambda n, m, most: most * (p + q) >= (n + m) * p), whole)
+    return found.filter(F.col("common") * q >= F.col("united") * p).select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
 
 
 def overlapping_pairs(sets: DataFrame, least: int) -> DataFrame:
     """a < b, common: all pairs of keys that share at least `least` items. Exact; the least - 1 most common items of a
     key never form pairs."""
-    prefix = _ranked(sets).filter(F.col("n") >= least).filter(F.col("rank") <= F.col("n") - least + 1)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    candidates = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
-    return _verified(candidates, sets.select("key", "item").distinct()).filter(F.col("common") >= least).select("a", "b", "common")
+    whole = _numbered(sets).filter(F.col("n") >= least)
+    found = _verified(_meeting(whole, F.col("n") - least + 1, lambda n, m, most: most >= least), whole)
+    return found.filter(F.col("common") >= least).select("a", "b", "common")
 
 
 def minhash_family(universe: int, hashes: int = HASHES, seed: int = 11) -> list[Hash]:
@@ -72,5 +105,6 @@ def lsh_pairs(signed: DataFrame, bands: int = BANDS) -> DataFrame:
 def similar_pairs_lsh(sets: DataFrame, hashes: list[Hash], bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
     """a < b, similarity: the banded candidates that are similar on the full sets. item: long."""
     pairs = sets.select("key", "item").distinct()
-    found = _verified(lsh_pairs(signatures(pairs, hashes), bands), pairs)
-    return found.withColumn("similarity", F.col("common") / F.col("united")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    p, q = Fraction(repr(float(least))).as_integer_ratio()
+    found = _verified(lsh_pairs(signatures(pairs, hashes), bands), pairs.groupBy("key").agg(F.collect_set("item").alias("items")))
+    return found.filter(F.col("common") * q >= F.col("united") * p).select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))

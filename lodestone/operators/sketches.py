@@ -51,14 +51,19 @@ def distinct_truth(stream: DataFrame) -> DataFrame:
 
 def distinct_estimate(stream: DataFrame, hashes: list[Hash], groups: int = FM_GROUPS, x: Column | None = None) -> DataFrame:
     """batch_id, estimate: two to the most trailing zeros per function, averaged in groups, the groups' median cut to a
-    whole number. A batch's state is one number per function, combined before the shuffle."""
-    x = F.col("id") if x is None else x
-    zeros = stream.groupBy("batch_id").agg(*[F.max(trailing_zeros(h.of(x))).alias(f"z{i}") for i, h in enumerate(hashes)])
+    whole number. A batch's state is one number per function, combined before the shuffle; the functions are rows of a
+    constant, so that the plan does not grow with them."""
+    x = (F.col("id") if x is None else x).cast("long")
+    number = lambda v: F.lit(v).cast("long")
+    drawn = F.array(*[F.struct(number(i).alias("i"), number(h.a).alias("a"), number(h.b).alias("b"), number(h.p).alias("p"), number(h.m).alias("m")) for i, h in enumerate(hashes)])
+    hashed = F.pmod(F.pmod(F.pmod(F.col("x"), F.col("f.p")) * F.col("f.a") + F.col("f.b"), F.col("f.p")), F.col("f.m"))
+    zeros = stream.select("batch_id", x.alias("x"), F.explode(drawn).alias("f")).select("batch_id", F.col("f.i").alias("i"), trailing_zeros(hashed).alias("z"))
+    most = zeros.groupBy("batch_id", "i").agg(F.max("z").alias("z"))
     size = len(hashes) // groups
-    mean = lambda g: sum(F.pow(F.lit(2.0), F.col(f"z{i}")) for i in range(g * size, (g + 1) * size)) / size
-    ranked = F.sort_array(F.array(*[mean(g) for g in range(groups)]))
-    middle = (F.element_at(ranked, (groups + 1) // 2) + F.element_at(ranked, groups // 2 + 1)) / 2
-    return zeros.select("batch_id", F.floor(middle).cast("long").alias("estimate"))
+    means = most.filter(F.col("i") < groups * size).groupBy("batch_id", F.floor(F.col("i") / size).alias("part")).agg((F.sum(F.pow(F.lit(2.0), F.col("z"))) / size).alias("mean"))
+    ranked = means.groupBy("batch_id").agg(F.sort_array(F.collect_list("mean")).alias("r"))  # one number per group
+    middle = (F.element_at("r", (groups + 1) // 2) + F.element_at("r", groups // 2 + 1)) / 2
+    return ranked.select("batch_id", F.floor(middle).cast("long").alias("estimate"))
 
 
 def priority(seed: int, *cols: str) -> Column:

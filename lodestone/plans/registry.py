@@ -222,7 +222,7 @@ def freq_items_3(spark, sf_dir):
 
 @query(_SETS_SQL)
 def freq_itemsets_all(spark, sf_dir):
-    return _frequent(spark, sf_dir, itemsets.MOST_LEVELS)
+    return _frequent(spark, sf_dir, None)
 
 
 @query()

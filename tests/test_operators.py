@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -293,3 +294,35 @@ def test_flat_clusters_divide_by_no_zero():
     assert math.isfinite(clustering.mahalanobis(np.array([5.0]), s)[0])
     left, gone = clustering.merge_near({0: s, 1: clustering.Summary(3, np.array([6.0]), np.array([12.1])), 2: clustering.Summary(1, np.array([99.0]), np.array([9801.0]))}, 2.0)
     assert sorted(left) == [1, 2] and gone == {0: 1} and left[1].n == 6
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.55, 0.56, 0.8, 1.0])
+def test_similar_pairs_in_whole_numbers(spark, monkeypatch, least):
+    """Thresholds that doubles round up, items of many keys in blocks, equal sets, and 14 items inside 25."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    rng = random.Random(9)
+    sets = {i: set(rng.sample(range(30), rng.randint(1, 20))) for i in range(60)} | {100: set(range(14)), 101: set(range(25)), 102: set(range(14))}
+    df = spark.createDataFrame([(k, f"w{x}") for k, xs in sets.items() for x in xs] + [(100, "w0"), (None, "w0"), (103, None)], "key long, item string")
+    share = lambda a, b: Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b]))
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if share(a, b) >= Fraction(str(least))}
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df, least).collect()} == want
+    assert least > 0.56 or (100, 101) in want
+    want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 6}
+    assert {tuple(r) for r in similarity.overlapping_pairs(df, 6).collect()} == want
+    assert similarity.similar_pairs(df.limit(0), least).count() == 0
+
+
+def test_co_ratings_of_asked_items(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(12), rng.randrange(9), float(rng.randint(1, 5)), n) for n in range(90)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, stars double, seq long")
+    tidy = lambda df: {tuple(round(x, 9) for x in r) for r in df.collect()}
+    every = tidy(recommend.co_ratings(ratings))
+    some = spark.createDataFrame([(2,), (5,), (5,), (77,)], "item_id long")
+    assert tidy(recommend.co_ratings(ratings, some)) == {r for r in every if {r[0], r[1]} & {2, 5}}
+
+
+def test_itemsets_of_more_levels_than_most(spark):
+    rows = [(b, f"i{x:02}") for b in range(3) for x in range(9)]
+    found = itemsets.frequent_itemsets(spark.createDataFrame(rows, "basket long, item string"), 3)
+    assert found.count() == 2**9 - 1 and found.filter(F.size("items") == 9).count() == 1
