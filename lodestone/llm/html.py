@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.neardup import shingle_set
 from lodestone.llm.shared import Workspace, size_checked
 
 MIN_PAGES, SHARE, LEAST_SHARE = 5, 0.2, 0.02
@@ -96,9 +97,9 @@ def _named(token: str, words: frozenset[str]) -> bool:
 
 
 @functools.lru_cache(maxsize=20000)
-def _names(raw: str) -> tuple[str, bool, bool, bool]:
-    """Of an element's attributes: its class and id words; whether they mark it as no article, and as none even inside
-    one; whether it is hidden."""
+def _names(raw: str) -> tuple[str, str, bool, bool, bool]:
+    """Of an element's attributes: its class and id words, and these without digits; whether they mark it as no article,
+    and as none even inside one; whether it is hidden."""
     words, dropped, inside, hidden = [], False, False, False
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -115,7 +116,7 @@ def _names(raw: str) -> tuple[str, bool, bool, bool]:
             hidden |= bool(_HIDDEN.search(value))
         elif name == "hidden" or value == "true":
             hidden = True
-    return " ".join(words), dropped, inside, hidden
+    return " ".join(words), re.sub(r"\d+", "0", " ".join(words)), dropped, inside, hidden
 
 
 def events(page: str):
@@ -225,14 +226,13 @@ def read(page: str) -> tuple[list, list[Node]]:
                     stack[-1][1].append(tight)
                     nodes[stack[-1][0]].letters += len(tight)
         elif kind == OPEN:
-            words, dropped, dropped_inside, hidden = _names(raw) if raw else ("", False, False, False)
+            words, names, dropped, dropped_inside, hidden = _names(raw) if raw else ("", "", False, False, False)
             parent = stack[-1][0] if stack else -1
             up = nodes[parent] if parent >= 0 else None
             inside = up is not None and (up.inside or up.tag in ("article", "main"))
             node = Node(value, words, dropped_inside if inside else dropped, hidden, parent, inside)
             # the nearest marked element's slot, and this one's own if it is marked
             node.slot = up.slot if up is not None else 0
-            names = re.sub(r"\d+", "0", words)
             if words or value in FRAME:
                 node.slot = _signed(str(node.slot), value, names)
             nodes.append(node)
@@ -278,8 +278,8 @@ def _story(walk: list, nodes: list[Node]) -> int:
             current = []
         if x >= 0 and (n.hidden or n.tag in DROPPED):
             at = n.end + 1
-    longest = current if sum(map(len, current)) > size else longest
-    return min((_signed(*longest[i : i + 3]) for i in range(max(1, len(longest) - 2))), default=0)
+    windows = shingle_set(" ".join(current if sum(map(len, current)) > size else longest), 3)
+    return int(windows[0].astype("int64")) if len(windows) else 0
 
 
 EXACT, SLOT, PAGE = 0, 1, 2

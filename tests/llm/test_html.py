@@ -58,9 +58,11 @@ def test_copies_of_a_page_are_no_template(spark):
 
 
 def test_inside_an_article_only_marked_elements_go(spark):
-    rows = [(i, f"http://a.example.org/{i}", f"<article><p>Shared opening line</p><p>own {i} and a few words more</p><div class='box'>Please join us</div><p class='lead'>lead {i}</p></article>") for i in range(12)]
+    rng = random.Random(4)
+    own = [prose(rng, 15) for _ in range(12)]
+    rows = [(i, f"http://a.example.org/{i}", f"<article><p>Shared opening line</p><p>{x}</p><div class='box'>Please join us</div><p class='lead'>lead {i}</p></article>") for i, x in enumerate(own)]
     out = {r["main_text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {f"Shared opening line\n\nown {i} and a few words more\n\nlead {i}" for i in range(12)}
+    assert out == {f"Shared opening line\n\n{x}\n\nlead {i}" for i, x in enumerate(own)}
 
 
 def prose(rng, n):
