@@ -45,6 +45,19 @@ def top_average(df: DataFrame, key: str, value: str, k: int = TOP, digits: int |
     return group_average(df, key, value, digits).orderBy(F.desc(value), key).limit(k)
 
 
+def top_average_on_driver(df: DataFrame, key: str, value: str, k: int = TOP, digits: int | None = None) -> list[tuple]:
+    """The same groups by sorting all averages on the driver; one row a group must fit there. For comparison."""
+    rows = group_average(df, key, value, digits).collect()
+    return sorted(((r[key], r[value]) for r in rows), key=lambda r: (-r[1], r[0]))[:k]
+
+
+def timing_report(df: DataFrame, key: str, value: str, digits: int | None = 6) -> dict:
+    """m1, m2: the top groups by a sort on the driver and on the cluster; m1_time, m2_time: seconds that each took."""
+    on_driver, m1 = timed(lambda: top_average_on_driver(df, key, value, digits=digits))
+    on_cluster, m2 = timed(lambda: [tuple(r) for r in top_average(df, key, value, digits=digits).collect()])
+    return {"m1": on_driver, "m2": on_cluster, "m1_time": m1, "m2_time": m2}
+
+
 def timed(action) -> tuple[object, float]:
     """What an action returns, and the seconds it took."""
     begun = time.perf_counter()

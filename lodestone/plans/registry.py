@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import family, key_long
-from lodestone.functions.text import clean
+from lodestone.functions.text import clean, first_keyword, map_size, year_of
 from lodestone.operators import clustering, graph, itemsets, recommend, relational, similarity, sketches
 from lodestone.plans.workspace import Workspace
 from lodestone.sources import adapters
@@ -17,7 +17,10 @@ OVERLAP, CROWD = 7, 7
 SUPPORT_SHARE = 0.05
 #: Words that take a part's name to a category, as descriptions do.
 PART_WORDS = ["ring", "widget", "bolt", "gear", "red", "blue", "small", "hot"]
-FEATURES = ["p_retailprice", "p_size", "c_acctbal", "avg_star_category", "review_count_user"]
+KINDS = ("hot", "more", "profile", "cute", "list", "note", "plain", "cool", "funny", "writer", "photos")
+#: Features of the single model, and of the ensemble.
+FEATURES = ["stars_business", "review_count_business", "review_count", "average_stars_user", "useful", "funny", "cool"]
+ALL_FEATURES = FEATURES + ["fans", "review_count_user", "n_attributes", "latitude", "longitude", "yelping_since_year", *[f"compliment_{k}" for k in KINDS], "avg_star_category"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,8 +107,6 @@ _ITEMS_SQL = f"SELECT p_partkey AS item_id, {_CATEGORY_SQL} AS category, p_retai
 
 
 def _items(spark, sf_dir):
-    from lodestone.functions.text import first_keyword
-
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), first_keyword(clean(F.col("p_name")), PART_WORDS).alias("category"), "p_retailprice", "p_size")
 
 
@@ -175,6 +176,52 @@ def feature_table(spark, sf_dir):
     return out.withColumn("avg_star_category", F.round("avg_star_category", 6))
 
 
+_BUSINESSES_SQL = f"""SELECT p_partkey AS item_id, {_CATEGORY_SQL} AS category, stars_business, p_retailprice AS latitude, p_size AS longitude, review_count_business,
+  ((p_brand IS NOT NULL)::INTEGER + (p_size > 25 AND p_type IS NOT NULL)::INTEGER + (p_retailprice > 1000)::INTEGER)::INTEGER AS n_attributes
+FROM part LEFT JOIN (SELECT item_id, round(avg(stars), 6) AS stars_business, count(*) AS review_count_business FROM reviews GROUP BY 1) r ON r.item_id = p_partkey"""
+_PEOPLE_SQL = f"""SELECT c_custkey AS user_id, review_count, average_stars_user, useful, funny, cool, fans, {", ".join(f"compliment_{k}" for k in KINDS)}, yelping_since_year
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS review_count, count_if(o_orderstatus = 'O')::BIGINT AS useful, count_if(o_orderstatus = 'F')::BIGINT AS funny, count_if(o_orderstatus = 'P')::BIGINT AS cool,
+  count_if(month(o_orderdate) = 12)::BIGINT AS fans, {", ".join(f"count_if(month(o_orderdate) = {i + 1})::BIGINT AS compliment_{k}" for i, k in enumerate(KINDS))}, min(year(o_orderdate))::INTEGER AS yelping_since_year FROM orders GROUP BY 1) o ON o_custkey = c_custkey
+LEFT JOIN (SELECT user_id, round(avg(stars), 6) AS average_stars_user FROM reviews GROUP BY 1) r ON r.user_id = c_custkey"""
+
+
+def _businesses(spark, sf_dir):
+    """Items as businesses: rating, place, number of ratings, and how many attributes are in their nested map."""
+    parts = table(spark, sf_dir, "part")
+    rated = adapters.reviews(spark, sf_dir).groupBy("item_id").agg(F.round(F.avg("stars"), 6).alias("stars_business"), F.count("*").alias("review_count_business"))
+    held = {"brand": F.col("p_brand"), "type": F.when(F.col("p_size") > 25, F.col("p_type")), "dear": F.when(F.col("p_retailprice") > 1000, F.lit("True"))}
+    attributes = F.map_filter(F.create_map(*[x for k, v in held.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    items = parts.select(F.col("p_partkey").alias("item_id"), first_keyword(clean(F.col("p_name")), PART_WORDS).alias("category"), F.col("p_retailprice").alias("latitude"), F.col("p_size").alias("longitude"), map_size(attributes).alias("n_attributes"))
+    return items.join(rated, "item_id", "left")
+
+
+def _people(spark, sf_dir):
+    """Customers as users with seventeen metrics of their orders."""
+    orders = table(spark, sf_dir, "orders")
+    month = lambda m: F.count_if(F.month("o_orderdate") == m)
+    status = lambda x: F.count_if(F.col("o_orderstatus") == x)
+    metrics = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.count("*").alias("review_count"), status("O").alias("useful"), status("F").alias("funny"), status("P").alias("cool"), month(12).alias("fans"),
+        *[month(i + 1).alias(f"compliment_{k}") for i, k in enumerate(KINDS)], year_of(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd")).alias("yelping_since_year"),
+    )
+    rated = adapters.reviews(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("stars"), 6).alias("average_stars_user"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).join(metrics, "user_id", "left").join(rated, "user_id", "left")
+
+
+@query(f"""WITH reviews AS ({REVIEWS_SQL}), items AS ({_BUSINESSES_SQL}), users AS ({_PEOPLE_SQL}), pairs AS ({_PAIRS_SQL}),
+averages AS (SELECT category, round(avg(stars), 6) AS avg_star_category FROM reviews LEFT JOIN items USING (item_id) GROUP BY 1),
+activity AS (SELECT user_id, count(*) AS review_count_user FROM reviews GROUP BY 1)
+SELECT p.user_id, p.item_id, CASE WHEN u.user_id IS NOT NULL AND i.item_id IS NOT NULL THEN 'known' WHEN i.item_id IS NOT NULL THEN 'no_user' WHEN u.user_id IS NOT NULL THEN 'no_item' ELSE 'neither' END AS cohort, i.category,
+  {", ".join(c for c in ALL_FEATURES if c not in ("avg_star_category", "review_count_user"))},
+  CASE WHEN i.item_id IS NOT NULL THEN avg_star_category END AS avg_star_category, CASE WHEN u.user_id IS NOT NULL THEN review_count_user END AS review_count_user
+FROM pairs p LEFT JOIN items i ON p.item_id = i.item_id LEFT JOIN users u ON u.user_id = p.user_id
+LEFT JOIN averages a ON a.category IS NOT DISTINCT FROM i.category LEFT JOIN activity t ON t.user_id = p.user_id""")
+def feature_pipeline(spark, sf_dir):
+    """The rating pipeline's table of 25 features for every pair, known or not."""
+    out = recommend.feature_table(_pairs(spark, sf_dir), _businesses(spark, sf_dir), _people(spark, sf_dir), adapters.reviews(spark, sf_dir))
+    return out.withColumn("avg_star_category", F.round("avg_star_category", 6))
+
+
 # --- itemsets ---
 
 
@@ -314,17 +361,16 @@ def cf_predict(spark, sf_dir):
     return _by_items(spark, sf_dir).withColumn("prediction", F.round("prediction", 6))
 
 
-def _model_rows(spark, sf_dir):
+def _model_rows(spark, sf_dir, names):
     """Training rows (pairs with their last rating and features) and targets (all known pairs with features)."""
-    ratings = adapters.reviews(spark, sf_dir)
-    features = recommend.feature_table(_pairs(spark, sf_dir), _items(spark, sf_dir), _users(spark, sf_dir), ratings).filter("cohort = 'known'")
-    features = features.select("user_id", "item_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    features = feature_pipeline(spark, sf_dir).filter("cohort = 'known'")
+    features = features.select("user_id", "item_id", *[F.col(c).cast("double").alias(c) for c in names])
     features = Workspace(spark, "features").keep(features, "known")
-    return features.join(recommend.last_ratings(ratings), ["user_id", "item_id"]), features
+    return features.join(recommend.last_ratings(adapters.reviews(spark, sf_dir)), ["user_id", "item_id"]), features
 
 
 def _by_model(spark, sf_dir):
-    train, targets = _model_rows(spark, sf_dir)
+    train, targets = _model_rows(spark, sf_dir, FEATURES)
     return recommend.predict_by_model(train, targets, FEATURES).select("user_id", "item_id", "prediction")
 
 
@@ -340,8 +386,8 @@ def hybrid_predict(spark, sf_dir):
 
 @query()
 def kfold_ensemble(spark, sf_dir):
-    train, targets = _model_rows(spark, sf_dir)
-    models = recommend.fit_folds(train, FEATURES, ["user_id", "item_id"])
+    train, targets = _model_rows(spark, sf_dir, ALL_FEATURES)
+    models = recommend.fit_folds(train, ALL_FEATURES, ["user_id", "item_id"])
     return recommend.predict_by_ensemble(models, targets).select("user_id", "item_id", "prediction")
 
 
@@ -395,7 +441,12 @@ def components(spark, sf_dir):
     return graph.components(_edges(spark, sf_dir))
 
 
-@query()
+_LABELS_SQL = f"WITH r AS ({REVIEWS_SQL}), {_EDGES_SQL}, links AS (SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges), l0 AS (SELECT DISTINCT a AS id, a AS label FROM links)" + "".join(
+    f", l{i + 1} AS (SELECT a AS id, label FROM (SELECT a, label, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, label) AS place FROM links JOIN l{i} ON b = id GROUP BY a, label) WHERE place = 1)" for i in range(5)
+)
+
+
+@query(_LABELS_SQL + " SELECT id, label FROM l5")
 def label_propagation(spark, sf_dir):
     return graph.label_propagation(_edges(spark, sf_dir))
 

@@ -12,10 +12,10 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs in one process, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/lodestone"
-#: A side of a join is broadcast up to so many rows, counted before.
-BROADCAST_ROWS = 50_000
+#: A side of a join is broadcast up to so many rows, and bytes of them as JSON; both are measured before.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 
 
 def reach_workers(spark: SparkSession) -> None:
@@ -37,6 +37,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         reach_workers(spark)
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         self.spark, self.path = spark, f"{(given or LOCAL_CHECKPOINTS).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         if not given:
             atexit.register(shutil.rmtree, self.path, ignore_errors=True)
@@ -58,6 +60,9 @@ class Workspace:
         return f"{at.path}/{name}" if at.scheme in ("", "file") else None
 
 
-def size_checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it has at most limit rows (counted up to limit + 1); else as it is."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+def size_checked(small: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """small with a broadcast hint if it has at most limit rows and most_bytes bytes; else as it is. No more than
+    limit + 1 rows are looked at."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
+    rows, size = small.limit(limit + 1).select(width.alias("width")).agg(F.count("*"), F.sum("width")).first()
+    return F.broadcast(small) if rows <= limit and (size or 0) <= most_bytes else small

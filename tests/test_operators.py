@@ -326,3 +326,33 @@ def test_itemsets_of_more_levels_than_most(spark):
     rows = [(b, f"i{x:02}") for b in range(3) for x in range(9)]
     found = itemsets.frequent_itemsets(spark.createDataFrame(rows, "basket long, item string"), 3)
     assert found.count() == 2**9 - 1 and found.filter(F.size("items") == 9).count() == 1
+
+
+def test_ensemble_options_and_fold_errors(spark):
+    rng = random.Random(4)
+    rows = [(i, float(x := rng.random()), float(y := rng.random()), 3 * x - y + rng.gauss(0, 0.05)) for i in range(240)]
+    train = spark.createDataFrame(rows, "id long, a double, b double, stars double").cache()
+    trees = recommend.boosted(["a", "b"], **recommend.ENSEMBLE).getStages()[-1]
+    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getSubsamplingRate(), trees.getFeatureSubsetStrategy()) == (512, 7, 0.05, 0.8, str(0.9 * 0.8))
+    models = recommend.fit_folds(train, ["a", "b"], ["id"], folds=3, **recommend.ENSEMBLE | {"rounds": 6, "depth": 3, "rate": 0.3})
+    out = recommend.fold_errors(models, train, ["id"]).collect()
+    assert [r["fold"] for r in out] == [0, 1, 2] and all(0 < r["train_rmse"] < 1.2 and 0 < r["eval_rmse"] < 1.2 for r in out)
+
+
+def test_broadcasts_are_checked_and_folders_shared(spark, monkeypatch):
+    from lodestone.plans import workspace
+
+    wide = spark.createDataFrame([(i, "x" * 1000, [1] * 50) for i in range(20)], "a long, b string, c array<int>")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(workspace.size_checked(wide)) and not hinted(workspace.size_checked(wide, limit=19)) and not hinted(workspace.size_checked(wide, most_bytes=10_000))
+    assert hinted(workspace.size_checked(wide.limit(0)))
+
+    class Cluster:
+        class sparkContext:
+            master, environment = "spark://host:7077", {}
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        workspace.Workspace(Cluster, "x")

@@ -3,6 +3,7 @@
 import pytest
 
 from lodestone.operators import recommend
+from lodestone.plans import surface  # noqa: F401  (registers its queries)
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
