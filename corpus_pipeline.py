@@ -5,7 +5,8 @@ stage's docs. All but the last return the columns of docs; the last returns the
 
 Defined results: a stage keeps rows with nulls as its operator defines them (a null id is linked with nothing and draws
 as 'null', null text has no language and goes in the first stage); an empty table passes as an empty table; extra
-columns pass through every stage but the last.
+columns pass through every stage but the last. Repeated rows are judged alike in the first stage and are one row after
+the second; ties are broken as the operators state. Texts of any length pass whole.
 """
 
 from __future__ import annotations

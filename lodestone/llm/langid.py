@@ -12,7 +12,8 @@ whole texts: forward-backward runs over chunks of all documents at once, and the
 text are passed on exactly by their transfer matrices.
 
 Defined results: null text and text without a letter is `und` with score 0. Without any labelled row everything is
-`und`. Words without letters are left out. Repeated rows get equal results. Extra columns are carried through.
+`und`. Words without letters are left out. Repeated rows get equal results, equally likely languages go to the first by
+name. Texts of any length are labelled whole; an empty table gives an empty one. Extra columns are carried through.
 """
 
 from __future__ import annotations

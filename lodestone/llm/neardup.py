@@ -23,7 +23,10 @@ sets decide.
 
 Defined results: null text, empty text and text without words have an empty set, linked with nothing. A text with fewer
 words than a shingle has one shingle, the whole. Rows with a null id are linked with nothing and get a null component.
-Rows that share an id are compared one by one. Shingles are compared by 64-bit hashes, sets by 128 bits.
+Rows that share an id are compared one by one. Shingles are compared by 64-bit hashes, sets by 128 bits. A similarity of
+exactly the threshold is a link; of equal ids in a component the least digest of a text stays. Texts of any length give
+whole sets. An empty table gives an empty one. Extra columns are carried where asked for, under any names, in
+deduplicate() all of them.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ more than max(cell_items, (fan_in + 1) * fan_in) items or so, however many there
 
 Defined results: null text is an empty document (only its end token). Repeated rows and repeated or null ids are packed
 one by one. Zero items make zero bins. Lengths must lie between 1 and capacity; full items are bins of their own.
-Extra columns are not carried; join them by the item's key.
+Items of one length are taken in the order of their key's hash and number; bins with equally little room in the order
+in which they were opened. Texts of any length are encoded whole and cut into pieces only where they exceed a sequence.
+Extra columns are not carried, whatever their names; join them by the item's key.
 """
 
 from __future__ import annotations

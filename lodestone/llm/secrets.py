@@ -5,7 +5,8 @@ identifiers, opaque tokens, endpoints - say little alone; an interval join finds
 points to a complementary part in the same document, and only these are reported.
 
 Defined results: null or empty text has no spans. Repeated rows are scanned one by one (a row number, not doc_id, ties
-the parts of a row together), null ids too. Overlapping spans are all reported. Extra columns are carried through;
+the parts of a row together), null ids too. Overlapping spans are all reported, in order of their start and then of
+their kind. Texts of any length are scanned whole, an empty table gives an empty one. Extra columns are carried through;
 this module's own column names start with an underscore.
 """
 

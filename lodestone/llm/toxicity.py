@@ -12,7 +12,13 @@ scored.
 
 Defined results: null and empty text has no features, so it gets the severity of the thresholds alone. Rows with a null
 id or grade do not train; several labels of one id count as the greatest. Without labels, or with a single grade, every
-severity is that grade or 0. Repeated rows get equal results. Extra columns are carried through.
+severity is that grade or 0. Repeated rows get equal results, an empty table gives an empty one. Of labels with the same
+hash the lesser id goes first; a probability of exactly CUT is not toxic. Texts of any length are judged whole, but train
+only up to TRAIN_CHARS. Extra columns are carried through, those named like a result are replaced.
+
+PENALTY was chosen by two-fold cross-validation on the 4,024 labels of sf0.1: against 1e-5 the mean log-loss falls from
+0.205 to 0.157, at CUT the share found of the texts with insults rises from 0.885 to 0.916, and that of clean ones
+accused falls from 0.6 % to 0.3 %. A fifth of the positive labels stand on texts without any insult; no model finds those.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from lodestone.llm.shared import by_length, hash_fraction
 
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
 BUCKETS = 1 << 19
-STEPS, PENALTY, LEAST_DOCS = 60, 1e-5, 5
+STEPS, PENALTY, LEAST_DOCS = 60, 1e-3, 5
 #: A text is called toxic if it is likelier than this to have any grade above the least.
 CUT = 0.2
 #: Lengths of the word beginnings that are features beside the word.

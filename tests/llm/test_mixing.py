@@ -45,3 +45,9 @@ def test_weights_clashing_columns_and_empty(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     only = mixing.mix(docs, mixing.rates_by_weights(docs, {"b": 2.0}))
     assert {r["source"] for r in only.collect()} == {"b"}
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, "s", "x" * 2_000_000 + str(i)) for i in range(4)], "doc_id long, source string, text string")
+    out = mixing.mix(docs, mixing.rates_by_weights(docs, {"s": 1.0}, size=3.0)).collect()
+    assert out and all(r["text"] == "x" * 2_000_000 + str(r["doc_id"]) for r in out)

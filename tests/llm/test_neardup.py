@@ -125,3 +125,13 @@ def test_query(spark, tmp_path):
 
 def test_query_against_sql(spark):
     assert len(same(spark, queries.op5_minhash_neardup, queries.ORACLE_SQL["op5_minhash_neardup"], "/root/testdata/sf0.001")) == 200
+
+
+def test_very_long_texts_ties_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    near = words[:100_000] + [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "a b c d e f"), (3, "a b c d e f"), (4, "a b c d e f g"), (5, "q r s t u v")]
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], "doc_id long, text string, component_id string, kept string")
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.find(docs.select("doc_id", "text"), width=1).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(docs, width=1).collect()) == [1, 3, 5]

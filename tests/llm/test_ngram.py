@@ -132,3 +132,12 @@ def test_small_gathers_and_empty(spark, monkeypatch):
     model, out = ngram.train_and_score(only, F.lit(False))
     rows = {r["doc_id"]: r for r in out.collect()}
     assert model.tokens == 0 and rows[1]["n_known"] == 0 and rows[1]["score"] == 0.0 and rows[2]["n_tokens"] == 1
+
+
+def test_very_long_texts_and_few_maps(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "MAPS", 2)
+    rows = [(1, "a b c " * 100_000), (2, "a b a"), (3, "c")]
+    want = sorted(brute(rows, [t for _, t in rows]), key=repr)
+    model, out = ngram.train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True))
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], model.tokens, r["base_score"], r["score"]) for r in out.collect()), key=repr)
+    assert [g[:4] for g in got] == [w[:4] for w in want] and np.allclose([g[4:] for g in got], [w[4:] for w in want])

@@ -132,3 +132,11 @@ def test_reach_is_the_gap_behind_long_secrets(spark, size):
     assert [kinds[i] for i in range(7)] == [["assign", "ident"], ["assign", "endpoint"], ["ident", "opaque"], ["endpoint", "opaque"], ["assign"], ["assign"], ["assign", "ident"]]
     masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
     assert masked[0] == "[SECRET] [SECRET]"
+
+
+def test_very_long_texts_empty_tables_and_clashing_columns(spark):
+    text = "word " * 200_000 + "token=abcdefgh12345678 user=zed " + "x" * 300_000 + " password=hunter2hunter2"
+    docs = spark.createDataFrame([(1, text, "a", "b")], "doc_id long, text string, spans string, kind string")
+    row = secrets.scan(docs).collect()[0]
+    assert [(s["start"], s["end"]) for s in row["_base"]] == [(m[0], m[2]) for m in brute(text)] and row["spans"] == "a" and row["kind"] == "b"
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.mask(docs.limit(0)).count() == 0

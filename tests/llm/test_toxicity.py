@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import queries, toxicity
 
@@ -73,6 +74,26 @@ def test_query_finds_the_labelled_texts(spark):
     assert np.mean([out[r["doc_id"]]["toxic"] == bool(r["toxic"]) for r in labels]) > 0.97
 
 
+def test_held_out_labels(spark):
+    """Trained on half of the labels of sf0.1, judged on the other half, where every insult is one of ten words."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    out = toxicity.judge(docs.join(labels.filter(~half), "doc_id"), toxicity.train(docs, labels.filter(half)))
+    insult = F.lower("text").rlike(r"\b(trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron)\b")
+    mean = lambda rows: rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    assert mean(out.filter(insult)) >= 0.85
+    assert mean(out.filter(~insult & (F.col("grade") == 0))) <= 0.01  # neither insult nor label
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    model = toxicity.fit(samples(600), buckets=1 << 12)
+    docs = spark.createDataFrame([(1, "plain1 " * 200_000 + "vilesome", 7, 8, 9), (2, "plain1", 7, 8, 9)], "doc_id long, text string, p_toxic int, toxic int, _0 int")
+    out = {r["doc_id"]: r for r in toxicity.judge(docs, model).collect()}
+    assert out[1]["severity"] > out[2]["severity"] and out[1]["_0"] == 9 and out[1]["toxic"] in (True, False)
+
+
 def test_edge_cases(spark, tmp_path):
     docs = spark.createDataFrame([(1, "dolt", 5), (2, None, 5), (3, "", 5), (None, "fine", 5), (1, "dolt", 5)], "doc_id long, text string, severity int")
     labels = spark.createDataFrame([(1, 1), (None, 1), (3, None), (9, 0)], "doc_id long, grade int")
