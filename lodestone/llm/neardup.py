@@ -7,8 +7,9 @@ MISS), so only collisions of that many matter:
 * pairs that only one document has cannot collide and are skipped; a document left with fewer than `matches` is done;
 * of the m that are left a document is posted only under its m - matches + 1 rarest (prefix): any two documents with
   enough collisions still meet, and the long lists of common pairs are skipped;
-* collisions over whole signatures are counted for the pairs which meet, and pairs above the threshold are confirmed on
-  the full sets.
+* collisions over whole signatures are counted for the pairs which meet and whose sizes allow the similarity. Pairs above
+  the threshold are confirmed on the full sets, unless their parities rule them out: FOLDS bits, each set if an odd
+  number of a set's shingles fall on it, which differ in at most as many places as the sets in shingles.
 
 Documents with equal sets are one class from the start, so that copies never form pairs. Lists do not form all pairs
 either: first each member of a list meets the first member it collides with often enough, in lists over BLOCK members
@@ -47,6 +48,8 @@ CANDIDATES, ROUNDS, BLOCK = 8, 2, 64
 SET_BLOCK, SET_ITEMS = 512, 1_000_000
 #: Bits kept of a coordinate, and coordinates in one long.
 BITS, LANES = 7, 8
+#: Bits of a set's parity.
+FOLDS = 1024
 #: The classes whose full sets are needed are sent to the scan of texts up to so many ids; more are joined.
 SENT_IDS = 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -121,28 +124,36 @@ def signature(x: np.ndarray, coordinates: int) -> np.ndarray:
     return least
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """FOLDS bits as longs: whether an odd number of a set's hashes fall on each."""
+    counts = np.bincount((x >> np.uint64(64 - FOLDS.bit_length() + 1)).astype("int64"), minlength=FOLDS)
+    return np.packbits((counts & 1).astype("uint8")).view("int64")
+
+
 def signatures(docs: DataFrame, carry: list[str], text: str, width: int, coordinates: int) -> DataFrame:
-    """The carried columns with n_shingles, digest (of the set; null if empty) and sig (array of long)."""
+    """The carried columns with n_shingles, digest (of the set; null if empty), sig and parity (arrays of long)."""
     kept = [docs.schema[c] for c in carry]
-    schema = T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([*kept, T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", longs), T.StructField("parity", longs)])
 
     def sign(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            sizes, digests, flat, at = [], [], [], [0]
+            sizes, digests, flat, folds = [], [], [], []
             for t in batch.column(len(kept)):
                 x = shingle_set(t.as_py(), width)
                 sizes.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 if len(x):
-                    flat.append(signature(x, coordinates))
-                at.append(at[-1] + coordinates * (len(x) > 0))
-            values = np.concatenate(flat).view("int64") if flat else np.empty(0, "int64")
+                    flat.append(signature(x, coordinates).view("int64"))
+                    folds.append(parity(x))
+            filled = np.cumsum([0, *(n > 0 for n in sizes)])
+            arrays = [pa.ListArray.from_arrays(pa.array(filled * each, pa.int32()), pa.array(np.concatenate([np.empty(0, "int64"), *values]))) for each, values in ((coordinates, flat), (FOLDS // 64, folds))]
             yield pa.record_batch(
-                [*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))],
-                names=[*batch.schema.names[: len(kept)], "n_shingles", "digest", "sig"],
+                [*batch.columns[: len(kept)], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *arrays],
+                names=[*batch.schema.names[: len(kept)], "n_shingles", "digest", "sig", "parity"],
             )
 
     return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(sign, schema)
@@ -218,6 +229,11 @@ def _agreeing(a: Column, b: Column, coordinates: int) -> Column:
     return total
 
 
+def _sized(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def _posted(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings (v, node) with their component."""
     if labels is None:
@@ -231,29 +247,29 @@ def _open_lists(posted: DataFrame) -> DataFrame:
     return posted.join(spans, "v")
 
 
-def _list_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, first: bool) -> DataFrame:
+def _list_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, percent: int, first: bool) -> DataFrame:
     """Colliding pairs of different components in lists of at most BLOCK members; with first, each member's first only."""
     small = posted.join(posted.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") <= BLOCK), "v")
-    lists = small.join(packs, "node").groupBy("v").agg(F.collect_list(F.struct("node", "comp", "pack")).alias("ms"))
+    lists = small.join(packs, "node").groupBy("v").agg(F.collect_list(F.struct("node", "comp", "n", "pack")).alias("ms"))
 
     def partners(x, i):
-        met = F.filter(F.slice("ms", F.lit(1), i), lambda y: (y["comp"] != x["comp"]) & (_agreeing(x["pack"], y["pack"], coordinates) >= matches))
+        met = F.filter(F.slice("ms", F.lit(1), i), lambda y: (y["comp"] != x["comp"]) & _sized(x["n"], y["n"], percent) & (_agreeing(x["pack"], y["pack"], coordinates) >= matches))
         met = F.transform(met, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
         return F.slice(met, 1, 1) if first else met
 
     return lists.select(F.explode(F.flatten(F.transform("ms", partners))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _pivot_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, seed: int) -> DataFrame:
+def _pivot_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, percent: int, seed: int) -> DataFrame:
     """Members of a list beside its pivot, if of another component and colliding often enough. The candidates are the
     least under hash functions that all lists share, so lists with much the same members take the same pivot: the one
     that agrees most with the other candidates."""
     rows = posted.join(packs, "node")
-    picks = [F.min(F.struct(F.xxhash64(F.lit(seed * CANDIDATES + j), "node").alias("h"), "node", "comp", "pack")).alias(f"_{j}") for j in range(CANDIDATES)]
+    picks = [F.min(F.struct(F.xxhash64(F.lit(seed * CANDIDATES + j), "node").alias("h"), "node", "comp", "n", "pack")).alias(f"_{j}") for j in range(CANDIDATES)]
     chosen = rows.groupBy("v").agg(*picks).select("v", F.array(*[f"_{j}" for j in range(CANDIDATES)]).alias("_c"))
-    central = F.transform("_c", lambda x: F.struct(F.aggregate("_c", F.lit(0), lambda t, y: t + _agreeing(x["pack"], y["pack"], coordinates).cast("int")).alias("t"), x["node"].alias("p"), x["comp"].alias("pc"), x["pack"].alias("pp")))
-    chosen = chosen.select("v", F.array_max(central).alias("_best")).select("v", "_best.p", "_best.pc", "_best.pp")
-    near = (F.col("comp") != F.col("pc")) & (_agreeing(F.col("pack"), F.col("pp"), coordinates) >= matches)
+    central = F.transform("_c", lambda x: F.struct(F.aggregate("_c", F.lit(0), lambda t, y: t + _agreeing(x["pack"], y["pack"], coordinates).cast("int")).alias("t"), x["node"].alias("p"), x["comp"].alias("pc"), x["n"].alias("pn"), x["pack"].alias("pp")))
+    chosen = chosen.select("v", F.array_max(central).alias("_best")).select("v", "_best.p", "_best.pc", "_best.pn", "_best.pp")
+    near = (F.col("comp") != F.col("pc")) & _sized(F.col("n"), F.col("pn"), percent) & (_agreeing(F.col("pack"), F.col("pp"), coordinates) >= matches)
     met = rows.withColumnRenamed("v", "_v").join(chosen, (F.col("_v") == F.col("v")) & near)
     return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
@@ -270,11 +286,12 @@ def _split(posted: DataFrame) -> DataFrame:
     return posted.join(largest, "v").withColumn("_minor", F.col("comp") != F.col("_big"))
 
 
-def _colliding(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, work: Workspace) -> DataFrame:
-    """The postings (v, node) of members that collide often enough with a member of another component of the list."""
+def _colliding(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, percent: int, work: Workspace) -> DataFrame:
+    """The postings (v, node) of members that collide often enough with a member, of about their size, of another
+    component of the list."""
     rows = work.keep(_split(posted), "sides").join(packs, "node")
     rows = rows.withColumn("_c", F.pmod(F.xxhash64("node"), F.ceil(F.col("_all") / BLOCK)))
-    member = F.struct("node", "comp", "pack")
+    member = F.struct("node", "comp", "n", "pack")
     every = rows.groupBy("v", "_c").agg(F.collect_list(member).alias("right"))
     minor = rows.filter("_minor").withColumnRenamed("_c", "_d").groupBy("v", "_d").agg(F.collect_list(member).alias("left"))
     longs = -(-coordinates // LANES)
@@ -289,14 +306,15 @@ def _colliding(posted: DataFrame, packs: DataFrame, matches: int, coordinates: i
             for v, left, right in zip(*(batch.column(i) for i in range(3))):
                 sides = []
                 for values in (left.values, right.values):
-                    node, comp, pack = values.flatten()
-                    sides.append((node.to_numpy(), comp.to_numpy(), pack.flatten().to_numpy().reshape(len(node), longs)))
-                (xn, xc, xs), (yn, yc, ys) = sides
+                    node, comp, size, pack = values.flatten()
+                    sides.append((node.to_numpy(), comp.to_numpy(), size.to_numpy(), pack.flatten().to_numpy().reshape(len(node), longs)))
+                (xn, xc, xz, xs), (yn, yc, yz, ys) = sides
                 agree = np.full((len(xn), len(yn)), coordinates, "int64")
                 for i in range(longs):
                     x = xs[:, i, None] ^ ys[None, :, i]
                     agree -= np.bitwise_count((((x & low) + low) | x) & top)
                 hit = (agree >= matches) & (xc[:, None] != yc[None, :])
+                hit &= 100 * np.minimum(xz[:, None], yz[None, :]) >= percent * np.maximum(xz[:, None], yz[None, :])
                 found.update((v.as_py(), int(k)) for k in np.concatenate([xn[hit.any(axis=1)], yn[hit.any(axis=0)]]))
             yield pa.record_batch([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["v", "node"])
 
@@ -372,7 +390,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     carried = [key, *(carry or [])]
     signed = work.keep(signatures(docs, carried, text, width, coordinates), "signatures")
     named = signed.filter(F.col("digest").isNotNull() & F.col(key).isNotNull())
-    classes = named.groupBy("digest").agg(F.min(key).alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    classes = named.groupBy("digest").agg(F.min(key).alias("rep"), F.first("sig").alias("sig"), F.first("parity").alias("parity"), F.first("n_shingles").alias("n"))
     classes = work.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # skip: only coordinate-value pairs of two classes or more; prefix: the rarest of them
@@ -389,16 +407,24 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
 
     def confirm(pairs: DataFrame, name: str) -> None:
         """Test the new pairs on full sets and join the components of those that are similar."""
-        size = lambda c: packs.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"))
-        pairs = pairs.join(size("a"), "a").join(size("b"), "b").filter(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b")
+        met = work.keep(pairs, f"met_{name}")
+        ends = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct()
+        folds = classes.select("node", "n", "parity").join(size_checked(ends, SENT_IDS), "node", "left_semi")
+        side = lambda c: folds.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
+        pairs = met.join(side("a"), "a").join(side("b"), "b")
+        apart = sum((F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(FOLDS // 64)), F.lit(0))
+        pairs = pairs.filter((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
         if state["tested"] is not None:
             pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
         pairs = work.keep(pairs, f"pairs_{name}")
+        work.drop(f"met_{name}")
         if pairs.isEmpty():
             return
         state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
-        fetch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), name)
-        items = lambda c: state["sets"].select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        fetch(ends, name)
+        sets = state["sets"].join(size_checked(ends, SENT_IDS), "node", "left_semi")
+        items = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
         full = pairs.join(items("a"), "a").join(items("b"), "b")
         full = full.withColumn("_common", F.size(F.array_intersect("a_items", "b_items")))
         linked = full.filter(100 * F.col("_common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("_common"))).select("a", "b")
@@ -422,19 +448,18 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     def still_open(name: str) -> DataFrame:
         return work.keep(_open_lists(_posted(lists, state["labels"])), f"open_{name}")
 
-    small = packs.select("node", "pack")
     for turn in range(ROUNDS):
         posted = still_open(f"pivots{turn}")
         posted = work.keep(_large(posted), f"large{turn}")
         if posted.isEmpty():
             break
-        confirm(_pivot_pairs(posted, small, matches, coordinates, turn), f"pivots{turn}")
-    confirm(_list_pairs(still_open("first"), small, matches, coordinates, True), "first")
+        confirm(_pivot_pairs(posted, packs, matches, coordinates, percent, turn), f"pivots{turn}")
+    confirm(_list_pairs(still_open("first"), packs, matches, coordinates, percent, True), "first")
     posted = still_open("rest")
-    confirm(_list_pairs(posted, small, matches, coordinates, False), "rest")
+    confirm(_list_pairs(posted, packs, matches, coordinates, percent, False), "rest")
     posted = work.keep(_large(still_open("blocks")), "blocks")
     if not posted.isEmpty():
-        colliding = work.keep(_colliding(posted, small, matches, coordinates, work), "colliding")
+        colliding = work.keep(_colliding(posted, packs, matches, coordinates, percent, work), "colliding")
         if not colliding.isEmpty():
             fetch(colliding.select("node").distinct(), "blocks")
             met = work.keep(posted.join(colliding, ["v", "node"]).select("v", "node", "comp"), "met")
@@ -449,7 +474,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         named_by = named_by.join(inside, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     else:
         named_by = named_by.select("digest", F.col("rep").alias("component_id"))
-    out = signed.drop("sig").join(named_by, "digest", "left")
+    out = signed.drop("sig", "parity").join(named_by, "digest", "left")
     component = F.when(F.col(key).isNotNull(), F.coalesce("component_id", key))
     return out.select(*carried, "n_shingles", "digest", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 

@@ -103,6 +103,17 @@ def test_signatures_estimate_similarity():
     assert neardup.least_matches(32, 0.8) == 11 or 10 <= neardup.least_matches(32, 0.8) <= 13
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(11)
+    for n, m, common in ((1, 1, 0), (3, 5, 2), (400, 380, 350), (3000, 2900, 1000), (9000, 9000, 8999)):
+        pool = np.unique(rng.integers(0, 2**64, n + m, "uint64"))
+        x, y = pool[:n], pool[n - common : n - common + m]
+        apart = int(np.bitwise_count(neardup.parity(x) ^ neardup.parity(y)).sum())
+        assert len(neardup.parity(x)) == neardup.FOLDS // 64
+        assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+    assert not neardup.parity(np.empty(0, "uint64")).any()
+
+
 def test_deduplicate_keeps_one_of_each_and_all_columns(spark):
     rows = corpus(5, 15)
     docs = spark.createDataFrame([(k, t, "x", i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, digest string, node int")
