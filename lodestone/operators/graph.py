@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.relational import with_activity
-from lodestone.operators.similarity import overlapping_pairs
+from lodestone.operators.similarity import overlapping_sets
 from lodestone.plans.workspace import Workspace
 
 #: Splitting by betweenness works on a graph of at most so many edges, in one process.
@@ -19,8 +18,8 @@ ROOTS = 64
 
 def co_occurrence_edges(pairs: DataFrame, least: int) -> DataFrame:
     """u < v, common: users of at least `least` rows that share at least so many distinct items. pairs: user_id, item_id."""
-    busy = with_activity(pairs, "user_id", least).select(F.col("user_id").alias("key"), F.col("item_id").alias("item")).distinct()
-    return overlapping_pairs(busy, least).select(F.col("a").alias("u"), F.col("b").alias("v"), "common")
+    users = pairs.filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"), F.collect_set("item_id").alias("items"))
+    return overlapping_sets(users.filter(F.col("n") >= least).select("key", "items"), least).select(F.col("a").alias("u"), F.col("b").alias("v"), "common")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

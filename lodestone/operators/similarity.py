@@ -15,6 +15,8 @@ HASHES, BANDS, SIMILARITY = 100, 30, 0.5
 
 #: Members of a list of postings in one block of its comparison; longs of a set's bitmap.
 BLOCK, LONGS = 512, 8
+#: Pairs that one task counts where pairs are counted without a shuffle.
+PAIRS = 1_000_000
 _BITS = [f"b{w}" for w in range(LONGS)]
 
 
@@ -74,9 +76,46 @@ def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return found.filter(F.col("common") * q >= F.col("united") * p).select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
 
 
+def narrowed(df: DataFrame, *columns: str) -> list[Column]:
+    """The columns, as int where they hold whole numbers and all of them fit: lists of ints are half as long."""
+    whole = [c for c in columns if dict(df.dtypes)[c] in ("bigint", "smallint", "tinyint")]
+    ends = df.agg(F.lit(0).alias("_"), *[f(c).alias(f"{f.__name__}_{c}") for c in whole for f in (F.min, F.max)]).first()
+    fits = {c for c in whole if ends[f"max_{c}"] is not None and -(1 << 31) <= ends[f"min_{c}"] and ends[f"max_{c}"] < 1 << 31}
+    return [F.col(c).cast("int") if c in fits else F.col(c) for c in columns]
+
+
 def overlapping_pairs(sets: DataFrame, least: int) -> DataFrame:
-    """a < b, common: all pairs of keys that share at least `least` items. Exact; the least - 1 most common items of a
-    key never form pairs."""
+    """a < b, common: all pairs of keys that share at least `least` items. Exact."""
+    whole = sets.filter("key IS NOT NULL").groupBy("key").agg(F.collect_set("item").alias("items"))
+    return overlapping_sets(whole, least)
+
+
+def overlapping_sets(whole: DataFrame, least: int) -> DataFrame:
+    """a < b, common: all pairs of keys that share at least `least` items. Exact. whole: key, items (array, distinct).
+
+    Every key is sent the keys after it in its items' lists, and counts them where they arrive: no pair is shuffled, and a
+    task counts PAIRS of them or so. Where a list has more than BLOCK keys, the common items are filtered first: the
+    least - 1 most common items of a key then never form pairs.
+    """
+    work = Workspace(whole.sparkSession, "overlaps")
+    whole = work.keep(whole.filter(F.size("items") >= least), "whole")
+    work.release()
+    (key,), kind = narrowed(whole, "key"), dict(whole.dtypes)["key"]
+    posts = whole.select(key.alias("key"), F.explode("items").alias("item"))
+    lists = work.keep(posts.groupBy("item").agg(F.sort_array(F.collect_list("key")).alias("keys")).filter(F.size("keys") > 1).select("keys"), "lists")
+    size = F.size("keys").cast("long")
+    longest, pairs = lists.agg(F.max(size), F.sum(size * (size - 1) / 2)).first()
+    work.release()
+    if (longest or 0) > BLOCK:
+        return _overlapping_filtered(whole.select("key", F.explode("items").alias("item")), least)
+    later = lists.select("keys", F.posexplode("keys").alias("pos", "a")).filter(F.col("pos") + 1 < F.size("keys"))
+    dealt = later.select("a", F.slice("keys", F.col("pos") + 2, F.size("keys")).alias("bs")).repartition(int((pairs or 0) // PAIRS) + 1, "a")
+    counted = dealt.select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
+    return counted.filter(F.col("common") >= least).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "common")
+
+
+def _overlapping_filtered(sets: DataFrame, least: int) -> DataFrame:
+    """The same by prefix, position and bitmap filters."""
     whole = _numbered(sets).filter(F.col("n") >= least)
     found = _verified(_meeting(whole, F.col("n") - least + 1, lambda n, m, most: most >= least), whole)
     return found.filter(F.col("common") >= least).select("a", "b", "common")

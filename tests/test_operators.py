@@ -241,6 +241,26 @@ def test_co_occurrence(spark):
     assert {(r["u"], r["v"]): r["common"] for r in graph.co_occurrence_edges(df, 5).collect()} == want
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_overlaps_are_counted_where_they_arrive(spark, monkeypatch, block):
+    """Several tasks, keys beyond an int, null and repeated rows; short lists send every key once and shuffle no pair."""
+    monkeypatch.setattr(similarity, "PAIRS", 40, raising=False)
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(8)
+    for shift in (0, 1 << 40):
+        sets = {shift - 20 + k: set(rng.sample(range(25), rng.randint(1, 12))) for k in range(40)}
+        rows = [(k, x) for k, xs in sets.items() for x in xs] * 2 + [(None, 1), (shift, None)]
+        df = spark.createDataFrame(rows, "key long, item long")
+        found = similarity.overlapping_pairs(df, 4)
+        want = {(a, b, len(sets[a] & sets[b])) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 4}
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        assert dict(found.dtypes) == {"a": "bigint", "b": "bigint", "common": "bigint"}
+        if block == 512:
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert similarity.overlapping_pairs(df.limit(0), 4).count() == 0
+
+
 def test_bloom_equals_a_sequential_filter(spark):
     rng = random.Random(7)
     hashes = hashing.family(3, 211, 1)
