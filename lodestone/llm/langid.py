@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import by_length, hash_fraction, size_checked
+from lodestone.llm.shared import by_length, giving_back, hash_fraction, size_checked
 from lodestone.plans.workspace import reach_workers
 
 UNKNOWN = "und"
@@ -367,7 +367,7 @@ def label(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]
                 names=[*batch.schema.names[: len(names)], "_lang", "_score", *["_known"] * evidence],
             )
 
-    return inner.mapInArrow(run, schema).toDF(*names, *added)
+    return inner.mapInArrow(giving_back(run), schema).toDF(*names, *added)
 
 
 def identify(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, evidence: bool = False) -> DataFrame:

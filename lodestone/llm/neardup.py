@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import Workspace, size_checked
+from lodestone.llm.shared import Workspace, giving_back, size_checked
 
 COORDINATES, MISS = 32, 1e-8
 CANDIDATES, ROUNDS, BLOCK = 8, 2, 64
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, carry: list[str], text: str, width: int, coordin
                 names=[*batch.schema.names[: len(kept)], "n_shingles", "digest", "sig", "parity"],
             )
 
-    return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(sign, schema)
+    return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(giving_back(sign), schema)
 
 
 def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -177,7 +177,7 @@ def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: i
 
     reps = size_checked(wanted.select(F.col("rep").alias("_rep")).distinct(), SENT_IDS)
     texts = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("_text"))
-    sets = texts.join(reps, F.col("rep") == F.col("_rep"), "left_semi").mapInArrow(collect, schema)
+    sets = texts.join(reps, F.col("rep") == F.col("_rep"), "left_semi").mapInArrow(giving_back(collect), schema)
     # rows that share an id may hold other texts; the digest tells
     found = sets.join(wanted.withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (F.col("_digest") == F.col("digest")))
     return found.select("node", "items").dropDuplicates(["node"])
@@ -205,6 +205,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         if step:
             work.drop(*[f"{name}_{x}{step - 1}" for x in ("hook", "jump", "labels", "left")])
         if left.isEmpty():
+            work.drop(*[f"{name}_{x}{step}" for x in ("hook", "jump", "left")])
             return labels
         step += 1
 
@@ -402,6 +403,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     lists = work.keep(_open_lists(_posted(lists, None)).select("v", "node"), "lists")
     work.drop("posted")
     packs = work.keep(classes.join(lists.select("node").distinct(), "node").select("node", "n", _packed(F.col("sig"), coordinates).alias("pack")), "packs")
+    work.release()
     rows = classes.select("node", "rep", "digest")
     state: dict = {"edges": None, "labels": None, "sets": None, "tested": None}
 
@@ -418,6 +420,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
             pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
         pairs = work.keep(pairs, f"pairs_{name}")
         work.drop(f"met_{name}")
+        work.release()
         if pairs.isEmpty():
             return
         state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
@@ -444,6 +447,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         if not linked.isEmpty():
             state["edges"] = linked if state["edges"] is None else state["edges"].union(linked)
             state["labels"] = components(state["edges"], work, f"comp_{name}")
+            work.release()
 
     def still_open(name: str) -> DataFrame:
         return work.keep(_open_lists(_posted(lists, state["labels"])), f"open_{name}")
@@ -454,9 +458,12 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         if posted.isEmpty():
             break
         confirm(_pivot_pairs(posted, packs, matches, coordinates, percent, turn), f"pivots{turn}")
+        work.drop(f"open_pivots{turn}", f"large{turn}")
     confirm(_list_pairs(still_open("first"), packs, matches, coordinates, percent, True), "first")
+    work.drop("open_first")
     posted = still_open("rest")
     confirm(_list_pairs(posted, packs, matches, coordinates, percent, False), "rest")
+    work.drop("open_rest")
     posted = work.keep(_large(still_open("blocks")), "blocks")
     if not posted.isEmpty():
         colliding = work.keep(_colliding(posted, packs, matches, coordinates, percent, work), "colliding")

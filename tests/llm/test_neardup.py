@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from lodestone.llm import neardup, queries
+from lodestone.llm import neardup, queries, shared
+from lodestone.plans import workspace
 from tests.llm.oracle import same
 
 
@@ -146,3 +147,17 @@ def test_very_long_texts_ties_and_clashing_columns(spark):
     got = {(r["doc_id"], r["component_id"]) for r in neardup.find(docs.select("doc_id", "text"), width=1).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
     assert sorted(r["doc_id"] for r in neardup.deduplicate(docs, width=1).collect()) == [1, 3, 5]
+
+
+def test_tables_that_nothing_reads_any_more_are_dropped(spark, tmp_path, monkeypatch):
+    """Only what the result reads stays in the shared folder, and the worker's functions give their memory back."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(20)]
+    texts = [" ".join(t) for t in base] + [" ".join([*t[:-1], f"x{i}"]) for t in base for i in range(12)]
+    monkeypatch.setattr(workspace, "LOCAL_CHECKPOINTS", str(tmp_path))
+    found = neardup.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=2)
+    assert found.filter("kept").count() == 20 and found.count() == len(texts)
+    left = {p.name for p in tmp_path.glob("neardup-*/*")}
+    assert not {n for n in left if n.startswith(("open_", "large")) or "_hook" in n or "_jump" in n}
+    assert list(shared.giving_back(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
