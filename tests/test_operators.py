@@ -342,6 +342,25 @@ def test_co_ratings_of_asked_items(spark):
     assert tidy(recommend.co_ratings(ratings, some)) == {r for r in every if {r[0], r[1]} & {2, 5}}
 
 
+def test_pearson_sums_where_ratings_arrive(spark, monkeypatch):
+    """Negative and large items, many values of stars (paired as they are) and few (summed before they are centred)."""
+    monkeypatch.setattr(recommend, "PAIRS", 30, raising=False)
+    monkeypatch.setattr(recommend, "TURN", 200, raising=False)
+    rng = random.Random(12)
+    for values, shift in ((range(1, 6), 0), (range(1, 6), 1 << 40), (range(100), 0)):
+        rows = [(rng.randrange(15), rng.randrange(-3, 9) + shift, float(rng.choice(values)), n) for n in range(150)]
+        rows += [(None, 1, 5.0, 200), (1, None, 5.0, 201)]
+        ratings = spark.createDataFrame(rows, "user_id long, item_id long, stars double, seq long")
+        every = recommend.co_ratings(ratings).filter("i < j AND n >= 2")
+        want = {(r["i"], r["j"], r["n"]): 0.0 if abs(r["num"]) < 5e-10 else r["num"] / math.sqrt(r["si"] * r["sj"]) for r in every.collect()}
+        found = recommend.pearson_pairs(ratings)
+        got = {(r["i"], r["j"], r["n"]): r["weight"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        if len(values) == 5 and not shift:
+            assert "weights1" in plan and "Join" not in plan  # several turns
+
+
 def test_itemsets_of_more_levels_than_most(spark):
     rows = [(b, f"i{x:02}") for b in range(3) for x in range(9)]
     found = itemsets.frequent_itemsets(spark.createDataFrame(rows, "basket long, item string"), 3)
