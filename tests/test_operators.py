@@ -157,6 +157,28 @@ def test_predictions_by_definition(spark):
         assert got[u, i] == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("hot", [10**9, 60])
+def test_predictions_item_by_item(spark, monkeypatch, hot):
+    """No pair of ratings is shuffled but those of items with too many; steps of any size give the same predictions."""
+    rng = random.Random(6)
+    rows = [(u, i, float(rng.randint(1, 5)), s) for s, (u, i) in enumerate((rng.randrange(12), rng.randrange(-3, 12) ** 2) for _ in range(90))]
+    ratings = spark.createDataFrame([*rows, (None, 4, 1.0, 98), (3, None, 2.0, 99), (50, None, 5.0, 100)], "user_id long, item_id long, stars double, seq long")
+    asked = [(u, i) for u in (*range(10), 50, 99, None) for i in (0, 1, 4, 9, 77, -5, None)]
+    targets = spark.createDataFrame(asked, "user_id long, item_id long")
+    tidy = lambda df: sorted(((r["user_id"], r["item_id"], round(r["prediction"], 9)) for r in df.collect()), key=repr)
+    want = tidy(recommend._predict_by_join(ratings, targets, 3, 2.5))
+    assert len(want) == len(asked)
+    asked_of, by_join = [], recommend._predict_by_join
+    monkeypatch.setattr(recommend, "_predict_by_join", lambda *args: asked_of.append(args[1].count()) or by_join(*args))
+    monkeypatch.setattr(recommend, "HOT", hot)
+    monkeypatch.setattr(recommend, "TURN", 200)
+    monkeypatch.setattr(recommend, "TASK", 100)
+    for chunk in (1, 50, 10**6):
+        monkeypatch.setattr(recommend, "CHUNK", chunk)
+        assert tidy(recommend.predict_by_items(ratings, targets, 3, 2.5)) == want
+    assert asked_of == [] if hot > 60 else all(0 < n < len(asked) for n in asked_of)
+
+
 def test_models_and_blend(spark, tmp_path):
     rows = [(u, u % 7, float(u % 5), float(u % 3) if u % 4 else None, float(u % 5)) for u in range(200)]
     data = spark.createDataFrame(rows, "user_id long, item_id long, x double, y double, stars double")
