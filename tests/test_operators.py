@@ -3,11 +3,13 @@
 import itertools
 import math
 import random
+import threading
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing, text
@@ -193,6 +195,32 @@ def test_models_and_blend(spark, tmp_path):
     assert mixed.filter(F.abs(F.col("prediction") - F.col("p")) > 1e-9).count() == 0
 
 
+def test_rows_of_equal_bins_are_fitted_once(spark):
+    """A row of each kind with its number as weight gives the trees of all rows, and is all that the trees are given."""
+    rng = random.Random(8)
+    rows = [(float(rng.randrange(6)), float(rng.randrange(5)) if rng.random() > 0.1 else None, float(rng.randint(1, 5))) for _ in range(900)]
+    data = spark.createDataFrame(rows, "x double, y double, stars double")
+    pipeline = recommend.boosted(["x", "y"], rounds=8, depth=3)
+    whole, ours, seen = pipeline.fit(data), None, []
+    fit = GBTRegressor.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(GBTRegressor, "fit", lambda self, df, *a: seen.append(df.count()) or fit(self, df, *a))
+        ours = recommend._fitted(pipeline, data)
+    assert 30 <= seen[0] <= 36
+    assert " in {" not in ours.stages[-1].toDebugString  # bins are numbers, not categories
+    tidy = lambda model: sorted(((r["x"], r["y"], round(r["prediction"], 6)) for r in model.transform(data).collect()), key=repr)
+    assert tidy(ours) == tidy(whole)
+
+
+def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
+    data = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(300)], "id long, x double, stars double")
+    want = recommend.fit_folds(data, ["x"], ["id"], folds=3, rounds=2, depth=2)
+    meet, fitted = threading.Barrier(3, timeout=60), recommend._fitted
+    monkeypatch.setattr(recommend, "_fitted", lambda *args: meet.wait() < 3 and fitted(*args))
+    models = recommend.fit_folds(data, ["x"], ["id"], folds=3, rounds=2, depth=2)
+    assert [m.stages[-1].toDebugString.split("\n", 1)[1] for m in models] == [m.stages[-1].toDebugString.split("\n", 1)[1] for m in want]
+
+
 def random_graph(seed, n=14, p=0.2):
     rng = random.Random(seed)
     return [(a, b) for a, b in itertools.combinations(range(n), 2) if rng.random() < p]
