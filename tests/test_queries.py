@@ -3,8 +3,9 @@
 import pytest
 
 from lodestone.operators import recommend
-from lodestone.plans import surface  # noqa: F401  (registers its queries)
+from lodestone.plans import registry, surface  # noqa: F401  (surface registers its queries)
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
+from lodestone.sources import adapters
 from tests.oracle import same
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,3 +37,16 @@ def test_boosted_queries_fit_whole_models(spark, monkeypatch, name, fits):
     monkeypatch.setattr(recommend, "boosted", short)
     assert QUERIES[name](spark, FOLDER).count() > 0
     assert asked == [(100, 6)] * fits
+
+
+def test_model_rows_read_the_reviews_once(spark, monkeypatch):
+    """Training rows and targets are the feature pipeline's known pairs, from one reading of the reviews."""
+    features = QUERIES["feature_pipeline"](spark, FOLDER).filter("cohort = 'known'").select("user_id", "item_id", *registry.FEATURES)
+    last = recommend.last_ratings(adapters.reviews(spark, FOLDER))
+    asked, reviews = [], adapters.reviews
+    monkeypatch.setattr(adapters, "reviews", lambda *args: asked.append(args) or reviews(*args))
+    train, targets = registry._model_rows(spark, FOLDER, registry.FEATURES)
+    assert len(asked) == 1
+    rows = lambda df: sorted(tuple(float(v) if v is not None else -1.0 for v in r) for r in df.select(*sorted(df.columns)).collect())
+    assert rows(targets) == rows(features) != []
+    assert rows(train) == rows(features.join(last, ["user_id", "item_id"]))
