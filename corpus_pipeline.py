@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import langid, mixing, neardup, packing, secrets
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.shared import Workspace, table
+from lodestone.plans import workspace
 
 #: A document is rejected if a smaller share of its words' features was met in training, as is one without letters.
 #: The score is not asked: it compares the learned languages with each other, and texts may switch between them.
@@ -34,11 +35,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by 5-word shingles at a similarity of 0.8 or more."""
+    workspace.rest_executors(spark)
     return neardup.deduplicate(docs, width=5, similarity=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret in the texts and counts n_chars anew; no document goes."""
+    workspace.rest_executors(spark)
     masked = secrets.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 

@@ -83,3 +83,20 @@ def test_unlearned_languages_go_and_mixtures_stay(spark):
     more = spark.createDataFrame([(k, t, None) for k, t in planted.items()], docs.schema)
     kept = {r["doc_id"] for r in cp.identify_language(spark, docs.unionByName(more), "").collect()}
     assert {k for k in planted if k in kept} == {-7, -8}
+
+
+def test_heaps_are_given_back_between_stages(spark, monkeypatch):
+    """The stages after those that fill the heaps begin by collecting garbage in the executors."""
+    from lodestone.plans import workspace
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collections()
+    workspace.rest_executors(spark)  # a local session's executor is this JVM
+    assert collections() > before
+    rested = []
+    monkeypatch.setattr(workspace, "rest_executors", rested.append)
+    docs = spark.createDataFrame([(1, "some words of a text that is long enough to have five words")], "doc_id long, text string")
+    cp.drop_near_duplicates(spark, docs, "")
+    cp.mask_secrets(spark, docs, "")
+    assert rested == [spark, spark]
