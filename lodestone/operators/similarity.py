@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import Hash, family
-from lodestone.plans.workspace import Workspace
+from lodestone.plans.workspace import Workspace, size_checked
 
 HASHES, BANDS, SIMILARITY = 100, 30, 0.5
 
 
 #: Members of a list of postings in one block of its comparison; longs of a set's bitmap.
 BLOCK, LONGS = 512, 8
+#: The same where lists of postings are joined: a list is sent so many times as it has blocks.
+POSTS = 8192
+#: Candidate pairs whose sets are shuffled at once.
+CANDIDATES = 500_000
 #: Pairs that one task counts where pairs are counted without a shuffle.
 PAIRS = 1_000_000
 _BITS = [f"b{w}" for w in range(LONGS)]
@@ -23,15 +27,27 @@ _BITS = [f"b{w}" for w in range(LONGS)]
 def _numbered(sets: DataFrame) -> DataFrame:
     """key, items (array of long, from the rarest item to the most common), n, and a bitmap of the items' hashes.
 
-    Items are numbered in a written table, so that sets are compared as numbers. Nulls are no keys and no items.
+    Items are numbered in a written table, so that sets are compared as numbers. Nulls are no keys and no items. Every
+    step is written, and its shuffle is released before the next.
     """
     work = Workspace(sets.sparkSession, "similarity")
-    pairs = work.keep(sets.select("key", "item").filter("key IS NOT NULL AND item IS NOT NULL").distinct(), "pairs")
-    numbers = work.keep(pairs.groupBy("item").agg(F.count("*").alias("df")).withColumn("id", F.monotonically_increasing_id()), "numbers")
-    placed = pairs.join(numbers, "item").withColumn("h", F.pmod(F.xxhash64("id"), F.lit(64 * LONGS)))
-    bits = [F.expr(f"bit_or(IF(h DIV 64 = {w}, shiftleft(1L, CAST(h % 64 AS INT)), 0L))").alias(b) for w, b in enumerate(_BITS)]
-    whole = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "id"))).alias("ranked"), *bits)
-    return work.keep(whole.select("key", F.transform("ranked", lambda x: x["id"]).alias("items"), F.size("ranked").cast("long").alias("n"), *_BITS), "sets")
+    given = sets.select("key", "item").filter("key IS NOT NULL AND item IS NOT NULL")
+    numbers = work.keep(given.groupBy("item").agg(F.count("*").alias("df")).withColumn("id", F.monotonically_increasing_id()), "numbers")
+    work.release()
+    pairs = work.keep(given.join(numbers, "item").select("key", "df", "id"), "pairs")
+    work.release()
+    work.drop("numbers")
+    ranked = pairs.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("df", "id"))).alias("ranked"))
+    whole = work.keep(ranked.select("key", F.transform("ranked", lambda x: x["id"]).alias("items"), F.size("ranked").cast("long").alias("n")), "lists")
+    work.release()
+    work.drop("pairs")
+    places = whole.select("key", "items", "n", F.transform("items", lambda x: F.pmod(F.xxhash64(x), F.lit(64 * LONGS))).alias("places"))
+    word = lambda w: F.aggregate(
+        "places", F.lit(0).cast("long"), lambda acc, h: F.when(F.floor(h / 64) == w, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")))).otherwise(acc)
+    )
+    whole = work.keep(places.select("key", "items", "n", *[word(w).alias(b) for w, b in enumerate(_BITS)]), "sets")
+    work.drop("lists")
+    return whole
 
 
 def _meeting(whole: DataFrame, prefix: Column, enough) -> DataFrame:
@@ -39,11 +55,11 @@ def _meeting(whole: DataFrame, prefix: Column, enough) -> DataFrame:
 
     enough(n, m, most) tells from two sets' sizes whether `most` shared items would do. How many they share at most
     follows from the places of the item at which they meet first, and from the bits in which their bitmaps differ.
-    Lists of more than BLOCK postings are dealt to the blocks of a triangle, so that no item is compared in one task.
+    Lists of more than POSTS postings are dealt to the blocks of a triangle, so that no item is compared in one task.
     """
     posts = whole.select("key", "n", *_BITS, F.posexplode(F.slice("items", F.lit(1), prefix.cast("int"))).alias("pos", "id"))
-    long = posts.groupBy("id").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("id", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    posts = posts.join(long, "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    long = posts.groupBy("id").agg(F.count("*").alias("c")).filter(F.col("c") > POSTS).select("id", F.ceil(F.col("c") / POSTS).alias("blocks"))
+    posts = posts.join(size_checked(long), "id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     posts = posts.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("left", F.col("n") - F.col("pos"))
     a = posts.select("*", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("y")).alias("a")
     b = posts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("x"), F.col("own").alias("y")).alias("b")
@@ -62,6 +78,20 @@ def _verified(candidates: DataFrame, whole: DataFrame) -> DataFrame:
     return met.select("a", "b", "common", (F.size("a_items") + F.size("b_items") - F.col("common")).cast("long").alias("united"))
 
 
+def _verified_in_turns(candidates: DataFrame, whole: DataFrame) -> DataFrame:
+    """_verified, CANDIDATES or so at a time, since every candidate is shuffled with both of its sets."""
+    work, out = Workspace(whole.sparkSession, "verified"), None
+    candidates = work.keep(candidates, "candidates")
+    work.release()
+    turns = candidates.count() // CANDIDATES + 1
+    for turn in range(turns):
+        part = work.keep(_verified(candidates.filter(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn), whole), f"part{turn}")
+        work.release()
+        out = part if out is None else out.unionByName(part)
+    work.drop("candidates")
+    return out
+
+
 def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a < b, similarity: all pairs of keys with Jaccard similarity of at least `least` (above 0, taken as the decimal
     number that it is written as). Exact, in whole numbers.
@@ -72,7 +102,7 @@ def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     p, q = Fraction(repr(float(least))).as_integer_ratio()
     whole = _numbered(sets)
     prefix = F.col("n") - F.expr(f"(n * {p} + {q - 1}) DIV {q}") + 1
-    found = _verified(_meeting(whole, prefix, lambda n, m, most: most * (p + q) >= (n + m) * p), whole)
+    found = _verified_in_turns(_meeting(whole, prefix, lambda n, m, most: most * (p + q) >= (n + m) * p), whole)
     return found.filter(F.col("common") * q >= F.col("united") * p).select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
 
 

@@ -382,6 +382,21 @@ def test_similar_pairs_in_whole_numbers(spark, monkeypatch, least):
     assert similarity.similar_pairs(df.limit(0), least).count() == 0
 
 
+def test_similar_pairs_in_blocks_and_turns(spark, monkeypatch):
+    """Lists of postings are dealt to blocks, and candidates are verified a few at a time."""
+    rng = random.Random(12)
+    sets = {k: {rng.randrange(14) for _ in range(6)} for k in range(40)}
+    df = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s] * 2, "key long, item long")
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    monkeypatch.setattr(similarity, "POSTS", 5)
+    monkeypatch.setattr(similarity, "CANDIDATES", 10)
+    verified, asked = similarity._verified, []
+    monkeypatch.setattr(similarity, "_verified", lambda c, w: asked.append(c.count()) or verified(c, w))
+    found = similarity.similar_pairs(df).collect()
+    assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want)
+    assert len(asked) > 1
+
+
 def test_co_ratings_of_asked_items(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(12), rng.randrange(9), float(rng.randint(1, 5)), n) for n in range(90)]
