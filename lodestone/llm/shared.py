@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.workspace import Workspace, size_checked
+from lodestone.plans.workspace import Workspace, give_back, giving_back, size_checked
 
 __all__ = ["Workspace", "by_length", "give_back", "giving_back", "hash_fraction", "size_checked", "table", "text_crc32"]
 
@@ -41,28 +37,3 @@ def by_length(texts: list[str | None], chars: int = 2_000_000):
             run, size = [], 0
     if run:
         yield run
-
-
-def give_back() -> None:
-    """Return this process's freed memory to the system. Idle Python workers are kept for later steps, and would keep
-    the most that a task ever took."""
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
-def giving_back(run):
-    """A function over batches that gives freed memory back at the end of its task."""
-
-    @functools.wraps(run)
-    def whole(batches):
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return whole

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import Hash, family
-from lodestone.plans.workspace import Workspace, size_checked
+from lodestone.plans.workspace import Workspace, giving_back, size_checked
 
 HASHES, BANDS, SIMILARITY = 100, 30, 0.5
 
@@ -21,6 +23,9 @@ POSTS = 8192
 CANDIDATES = 500_000
 #: Pairs that one task counts where pairs are counted without a shuffle.
 PAIRS = 1_000_000
+#: Where bands are compared: items hashed and pairs compared in one step of a worker, postings that it holds, postings
+#: and pairs of a task, and the least bits of a set's parities.
+HASHED, STEP, HELD, TASK_POSTS, TASK_PAIRS, PARITIES = 1 << 15, 250_000, 50_000, 50_000, 20_000_000, 512
 _BITS = [f"b{w}" for w in range(LONGS)]
 
 
@@ -171,9 +176,202 @@ def lsh_pairs(signed: DataFrame, bands: int = BANDS) -> DataFrame:
     return a.join(b, met).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
+def _least_hashes(items: np.ndarray, starts: np.ndarray, hashes: list[Hash]) -> np.ndarray:
+    """The signatures of sets that lie in items (long) from starts on: what signatures() gives, a row a set."""
+    out = np.empty((len(starts), len(hashes)), "int32")
+    high, low = items >> 31, items & ((1 << 31) - 1)
+    for k, h in enumerate(hashes):
+        if h.p < 1 << 28:  # then two products stand for the one that would overflow
+            a = h.a % h.p
+            x = high * ((a << 31) % h.p) + low * a + h.b
+        else:
+            x = items % h.p * h.a + h.b
+        x -= x // h.p * h.p  # faster than %
+        x = x.astype("uint32")
+        out[:, k] = np.minimum.reduceat(x - x // np.uint32(h.m) * np.uint32(h.m), starts)
+    return out
+
+
+def _parities(items: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of 64 bits that tell which places hold an odd number of a set's items, and how many words a set has: places
+    for twice its items at least, in powers of two, so that longer ones can be folded to shorter ones."""
+    words = np.maximum(1 << np.ceil(np.log2(2 * lengths)).astype("int64"), PARITIES) // 64
+    begins = np.cumsum(words) - words
+    mixed = (items ^ (items >> 29)).view("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    place = ((mixed >> np.uint64(20)) & (np.repeat(words, lengths) * 64 - 1).astype("uint64")).astype("int64")
+    out = np.zeros(int(words.sum()), "uint64")
+    np.bitwise_xor.at(out, np.repeat(begins, lengths) + (place >> 6), np.uint64(1) << (place & 63).astype("uint64"))
+    return out, words
+
+
+def _sketches(batches, hashes: list[Hash], rows: int):
+    """key, n, digest, bands (the band's number and its values, as bytes) and parities of sets (key, items in order)."""
+    import pyarrow as pa
+
+    def binary(lengths, data):
+        ends = np.append(0, np.cumsum(lengths)).astype("int32")
+        return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+    starts = range(0, len(hashes), rows)
+    for batch in batches:
+        offsets = batch["items"].offsets.to_numpy()
+        every, lengths = batch["items"].flatten().to_numpy(), np.diff(offsets)
+        offsets, begin = offsets - offsets[0], 0
+        while begin < len(lengths):
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + HASHED, "right")) - 1)
+            items, n = every[offsets[begin] : offsets[end]], lengths[begin:end].astype("int64")
+            signature = _least_hashes(items, offsets[begin:end] - offsets[begin], hashes)
+            parts = np.full((len(n), len(starts), rows + 1), -1, "<i4")
+            for band, s in enumerate(starts):
+                part = signature[:, s : s + rows]
+                parts[:, band, 0], parts[:, band, 1 : part.shape[1] + 1] = band, part
+            bands = binary(np.full(len(n) * len(starts), 4 * (rows + 1)), parts)
+            bits, words = _parities(items, n)
+            digest = [hashlib.sha256(every[offsets[k] : offsets[k + 1]].tobytes()).digest() for k in range(begin, end)]
+            of_sets = pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, len(starts), dtype="int32"), bands)
+            columns = [batch["key"].slice(begin, end - begin), pa.array(n), pa.array(digest, pa.binary()), of_sets, binary(8 * words, bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "digest", "bands", "bits"])
+            begin = end
+
+
+def _cut(batches, names: tuple[str, ...], size_of, most: int):
+    """Tables of whole runs of rows that are equal in the named columns, of `most` or so by size_of(batch)."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += size_of(batch)
+        if size < most:
+            continue
+        rows = pa.Table.from_batches(held)
+        marks = [rows[c].to_numpy() for c in names]
+        cut = int(np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in marks])))[-1])  # the last run may go on
+        if cut:
+            yield rows.slice(0, cut).combine_chunks()
+            held = rows.slice(cut).combine_chunks().to_batches()
+            size = sum(map(size_of, held))
+    rows = pa.Table.from_batches(held).combine_chunks() if held else None
+    if rows is not None and rows.num_rows:
+        yield rows
+
+
+def _numbers(rows, *names: str) -> np.ndarray:
+    """The number of every row's run of rows that are equal in the named columns."""
+    marks = [rows[c].to_numpy() for c in names]
+    return np.cumsum(np.append(False, np.logical_or.reduce([c[1:] != c[:-1] for c in marks])))
+
+
+def _close(rows, p: int, q: int):
+    """Numbers of two rows each (arrays) that lie in the same block of a bucket, whose sizes and parities leave room for
+    a similarity of p / q. rows: bucket, x, y, own, n, bits, sorted by the first three and n."""
+    column = lambda c: rows[c].to_numpy().astype("int64")
+    x, y, own, n, group = *(column(c) for c in ("x", "y", "own", "n")), _numbers(rows, "bucket", "x", "y")
+    raw = rows["bits"].combine_chunks()
+    raw = raw.chunk(0) if hasattr(raw, "chunks") else raw
+    ends = np.frombuffer(raw.buffers()[1], "int32")[raw.offset : raw.offset + len(raw) + 1].astype("int64")
+    flat = np.frombuffer(raw.buffers()[2], "uint8")[ends[0] : ends[-1]].view("uint64")
+    begins, words = (ends[:-1] - ends[0]) // 8, np.diff(ends) // 8
+
+    def folded(at, width):
+        out = np.empty((len(at), width), "uint64")
+        for w in np.unique(words[at]):
+            sel = np.flatnonzero(words[at] == w)
+            out[sel] = np.bitwise_xor.reduce(flat[begins[at[sel]][:, None] + np.arange(w)].reshape(len(sel), w // width, width), axis=1)
+        return out
+
+    def near(i, j, a, b):
+        apart = np.bitwise_count(a ^ b).sum(1, dtype="int64")
+        return apart * (p + q) <= (n[i] + n[j]) * (q - p)
+
+    least = PARITIES // 64
+    short = np.concatenate([folded(np.arange(k, min(k + HELD, len(n))), least) for k in range(0, len(n), HELD)])
+    span = int(n.max()) + 1
+    most = np.minimum(n * q // p, span - 1) if p else np.full(len(n), span - 1)
+    count = np.searchsorted(group * span + n, group * span + most, "right") - np.arange(len(n)) - 1
+    total, begin = np.cumsum(count), 0
+    while begin < len(n):
+        before = total[begin] - count[begin]
+        end = max(begin + 1, int(np.searchsorted(total, before + STEP, "right")))
+        here = count[begin:end]
+        i = np.repeat(np.arange(begin, end), here)
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:end] - here - before, here)
+        begin = end
+        once = (x[i] == y[i]) | (own[i] != own[j])
+        i, j = i[once], j[once]
+        ok = near(i, j, short[i], short[j])
+        i, j = i[ok], j[ok]
+        for w in np.unique(words[i]):
+            sel = np.flatnonzero(words[i] == w)
+            step = max(1, (1 << 22) // int(words[j[sel]].max()))
+            for k in range(0, len(sel), step):
+                one, two = i[sel[k : k + step]], j[sel[k : k + step]]
+                ok = near(one, two, folded(one, w), folded(two, w)) if w > least else slice(None)
+                yield one[ok], two[ok]
+
+
+def _met(batches, p: int, q: int):
+    """a, b: keys of the close pairs of postings that come sorted by bucket, block and size."""
+    import pyarrow as pa
+
+    for rows in _cut(batches, ("bucket", "x", "y"), lambda b: b.num_rows, HELD):
+        keys = rows["key"].combine_chunks()
+        for i, j in _close(rows, p, q):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], ["a", "b"])
+
+
 def similar_pairs_lsh(sets: DataFrame, hashes: list[Hash], bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
-    """a < b, similarity: the banded candidates that are similar on the full sets. item: long."""
-    pairs = sets.select("key", "item").distinct()
+    """a < b, similarity: the banded candidates that are similar on the full sets. item: long. Nulls are no keys and no items."""
+    whole = sets.filter("key IS NOT NULL AND item IS NOT NULL").groupBy("key").agg(F.collect_set("item").alias("items"))
+    return similar_sets_lsh(whole, hashes, bands, least)
+
+
+def similar_sets_lsh(whole: DataFrame, hashes: list[Hash], bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
+    """a < b, similarity: the pairs with an equal band (as in lsh_pairs) and a similarity of at least `least`. Every such
+    pair is found. whole: key, items (array of long, distinct), a row a key.
+
+    Equal sets are compared as one and expanded in the end. The sets that share a band meet in its bucket, sorted by
+    size, and only as parities of their items; pairs that these rule out are never formed as rows. Buckets of over POSTS
+    sets are dealt to the blocks of a triangle. What is left is counted on the full sets.
+    """
+    work, kind = Workspace(whole.sparkSession, "bands"), dict(whole.dtypes)["key"]
     p, q = Fraction(repr(float(least))).as_integer_ratio()
-    found = _verified(lsh_pairs(signatures(pairs, hashes), bands), pairs.groupBy("key").agg(F.collect_set("item").alias("items")))
-    return found.filter(F.col("common") * q >= F.col("united") * p).select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
+    rows = max(len(hashes) // bands, 1)
+    whole = work.keep(whole.filter("key IS NOT NULL AND size(items) > 0").select("key", F.sort_array("items").alias("items")), "sets")
+    work.release()
+    sketch = giving_back(lambda batches: _sketches(batches, hashes, rows))
+    drawn = work.keep(whole.mapInArrow(sketch, f"key {kind}, n long, digest binary, bands array<binary>, bits binary"), "sketches")
+    # equal sets stand under their least key
+    classes = drawn.groupBy("digest").agg(F.min("key").alias("rep"), F.collect_list("key").alias("keys")).filter(F.size("keys") > 1)
+    copies = work.keep(classes.select("rep", F.explode("keys").alias("key")), "copies")
+    work.release()
+    others = size_checked(copies.filter("key <> rep").select("key"))
+    posted = drawn.join(others, "key", "left_anti").select("key", F.explode("bands").alias("band"))
+    size = F.size("keys").cast("long")
+    buckets = posted.groupBy("band").agg(F.collect_list("key").alias("keys")).filter(F.size("keys") > 1)
+    buckets = work.keep(buckets.select(F.monotonically_increasing_id().alias("bucket"), "keys"), "buckets")
+    posts, pairs = (int(c or 0) for c in buckets.agg(F.sum(size), F.sum(size * (size - 1) / 2)).first())
+    work.release()
+    met = buckets.select("bucket", F.ceil(size / POSTS).alias("blocks"), F.explode("keys").alias("key")).join(drawn.select("key", "n", "bits"), "key")
+    met = met.withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "n", "bits")
+    met = met.repartition(posts // TASK_POSTS + pairs // TASK_PAIRS + 1, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
+    close = met.mapInArrow(giving_back(lambda batches: _met(batches, p, q)), f"a {kind}, b {kind}")
+    close = work.keep(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
+    work.release()
+    work.drop("buckets", "sketches")
+    asked = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    involved = work.keep(whole.join(size_checked(asked), "key", "left_semi"), "involved")
+    work.release()
+    work.drop("sets")
+    found = _verified_in_turns(close, involved).filter(F.col("common") * q >= F.col("united") * p)
+    work.drop("close", "involved")
+    found = found.select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
+    small = size_checked(copies)
+    for end in ("a", "b"):
+        of_end = small.select(F.col("rep").alias(end), F.col("key").alias("_key"))
+        found = found.join(of_end, end, "left").withColumn(end, F.coalesce("_key", end)).drop("_key")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    equal = copies.select("rep", F.col("key").alias("a")).join(small.select("rep", F.col("key").alias("b")), "rep").filter("a < b")
+    return found.unionByName(equal.select("a", "b", F.lit(1.0).alias("similarity")))

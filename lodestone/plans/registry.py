@@ -307,6 +307,12 @@ def _number_sets(spark, sf_dir):
     return adapters.words(spark, sf_dir).select(F.col("doc_id").alias("key"), key_long(F.col("word")).alias("item"))
 
 
+def _number_lists(spark, sf_dir):
+    """The same with a row a key: items (array). Rows of one doc_id are one document."""
+    lists = adapters.word_lists(spark, sf_dir).select(F.col("doc_id").alias("key"), F.transform("words", key_long).alias("items"))
+    return lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 @query(_JACCARD_SQL + " SELECT a, b, similarity FROM pairs")
 def jaccard_exact(spark, sf_dir):
     return similarity.similar_pairs(_word_sets(spark, sf_dir))
@@ -322,7 +328,7 @@ def minhash_signatures(spark, sf_dir):
 met AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.part = y.part AND x.doc_id < y.doc_id)
 SELECT a, b, similarity FROM pairs JOIN met USING (a, b)""")
 def jaccard_lsh(spark, sf_dir):
-    return similarity.similar_pairs_lsh(_number_sets(spark, sf_dir), _HASHES)
+    return similarity.similar_sets_lsh(_number_lists(spark, sf_dir), _HASHES)
 
 
 # --- recommendation ---

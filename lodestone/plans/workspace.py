@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import os
 import shutil
@@ -34,6 +36,31 @@ def rest_executors(spark: SparkSession) -> None:
     spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system. Idle Python workers are kept for later steps, and would keep
+    the most that a task ever took."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """A function over batches that gives freed memory back at the end of its task."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 class Workspace:
     """A folder of its own below spark.checkpoint.dir for an operator's intermediate tables.
 

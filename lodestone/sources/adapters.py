@@ -52,10 +52,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, words: the distinct lower-cased words of every row of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")).alias("words"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, word: the distinct lower-cased words of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != ""))).alias("word"))
+    return word_lists(spark, sf_dir).select("doc_id", F.explode("words").alias("word"))
 
 
 WORDS_SQL = r"SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r]+')) AS word FROM documents) WHERE word <> ''"

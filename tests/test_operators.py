@@ -460,3 +460,40 @@ def test_broadcasts_are_checked_and_folders_shared(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         workspace.Workspace(Cluster, "x")
+
+
+def _banded(spark, sets, hashes, key="long"):
+    """What similar_pairs_lsh is to find: pairs with an equal band, by lsh_pairs, that are similar enough."""
+    df = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], f"key {key}, item long")
+    met = {(r["a"], r["b"]) for r in similarity.lsh_pairs(similarity.signatures(df, hashes)).collect()}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in met}
+    return df, len(met), {(*ab, s) for ab, s in like.items() if s >= 0.5}
+
+
+@pytest.mark.parametrize("key,limits", [("long", {}), ("string", {}), ("long", {"POSTS": 4, "HELD": 5, "STEP": 7, "HASHED": 40, "CANDIDATES": 100})])
+def test_banded_pairs_with_copies_and_hot_bands(spark, monkeypatch, key, limits):
+    """Every banded pair that is similar, with its similarity, whatever is dealt or cut; of unlike sets
+    that share a band hardly any become candidates."""
+    for name, value in limits.items():
+        monkeypatch.setattr(similarity, name, value)
+    rng, sets = random.Random(5), {}
+    for i in range(40):
+        base = {rng.randrange(-(1 << 59), 1 << 59) for _ in range(rng.choice((1, 5, 30, 300)))} | ({7} if i % 2 else set())
+        for j in range(4):
+            sets[4 * i + j] = base if j < 2 else {x for x in base if rng.random() > 0.15} | {rng.randrange(1 << 59)}
+    if key == "string":
+        sets = {f"k{k}": s for k, s in sets.items()}
+    hashes, asked = similarity.minhash_family(101), []
+    df, met, want = _banded(spark, sets, hashes, key)
+    verified = similarity._verified_in_turns
+    monkeypatch.setattr(similarity, "_verified_in_turns", lambda candidates, *rest: asked.append(candidates.count()) or verified(candidates, *rest))
+    found = [tuple(r) for r in similarity.similar_pairs_lsh(df, hashes).collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) >= 150
+    assert met > 5 * asked[0]
+
+
+def test_banded_pairs_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (None, 5), (3, 5), (4, 5), (4, None)], "key long, item long")
+    hashes = similarity.minhash_family(1009)
+    assert [tuple(r) for r in similarity.similar_pairs_lsh(df, hashes).collect()] == [(3, 4, 1.0)]
+    assert similarity.similar_pairs_lsh(df.filter("key = 1"), hashes).collect() == []
