@@ -50,3 +50,20 @@ def test_model_rows_read_the_reviews_once(spark, monkeypatch):
     rows = lambda df: sorted(tuple(float(v) if v is not None else -1.0 for v in r) for r in df.select(*sorted(df.columns)).collect())
     assert rows(targets) == rows(features) != []
     assert rows(train) == rows(features.join(last, ["user_id", "item_id"]))
+
+
+def test_hybrid_reads_the_reviews_once(spark, monkeypatch):
+    """The blend of the two registered parts, from one reading of the reviews."""
+    boosted, asked, reviews = recommend.boosted, [], adapters.reviews
+
+    def short(*args, **options):
+        pipeline = boosted(*args, **options)
+        pipeline.getStages()[-1].setMaxIter(2).setMaxDepth(2)
+        return pipeline
+
+    monkeypatch.setattr(recommend, "boosted", short)
+    rows = lambda df: sorted((r["user_id"], r["item_id"], round(r["prediction"], 9)) for r in df.collect())
+    want = rows(recommend.blend(registry._by_items(spark, FOLDER), registry._by_model(spark, FOLDER)))
+    monkeypatch.setattr(adapters, "reviews", lambda *args: asked.append(args) or reviews(*args))
+    assert rows(QUERIES["hybrid_predict"](spark, FOLDER)) == want != []
+    assert len(asked) == 1
