@@ -52,6 +52,8 @@ BITS, LANES = 7, 8
 FOLDS = 1024
 #: The classes whose full sets are needed are sent to the scan of texts up to so many ids; more are joined.
 SENT_IDS = 1_000_000
+#: Edges whose components the driver finds (16 bytes each); more are joined by steps over all executors.
+DRIVER_EDGES = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -183,31 +185,66 @@ def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: i
     return found.select("node", "items").dropDuplicates(["node"])
 
 
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of edges (a, b) and the least node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    comp = np.arange(len(nodes))
+    while (comp[x] != comp[y]).any():
+        p, q = comp[x], comp[y]
+        np.minimum.at(comp, np.maximum(p, q), np.minimum(p, q))
+        while (comp[comp] != comp).any():
+            comp = comp[comp]
+    return nodes, nodes[comp]
+
+
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """node, comp for the nodes of edges (a, b): comp is one node of the component, the same for all.
 
-    Each step hooks every component to its least neighbour, shortens the paths, and carries on with the edges that
-    still join different components.
+    Up to DRIVER_EDGES edges are joined by the driver. While there are more, each step hooks every component to its
+    least neighbour, shortens the paths, and carries on with the edges that still join different components.
     """
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    labels, left, step = nodes.withColumn("comp", F.col("node")), edges.select("a", "b"), 0
-    while True:
+    labels, left, step = None, edges.select("a", "b"), 0
+    while left.count() > DRIVER_EDGES:
+        if labels is None:
+            nodes = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+            labels = nodes.withColumn("comp", F.col("node"))
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = work.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), f"{name}_hook{step}")
         for _ in range(2):
             hook = hook.alias("h").join(hook.select(F.col("a").alias("m"), F.col("up").alias("top")), F.col("up") == F.col("m"), "left").select("a", F.coalesce("top", "up").alias("up"))
         hook = work.keep(hook, f"{name}_jump{step}")
-        labels = labels.join(hook.withColumnRenamed("a", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-        labels = work.keep(labels, f"{name}_labels{step}")
+        labels = work.keep(_renamed(labels, hook.withColumnRenamed("a", "comp")), f"{name}_labels{step}")
         ends = lambda c: hook.select(F.col("a").alias(c), F.col("up").alias(f"{c}_up"))
         left = left.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).filter("a <> b").distinct()
         left = work.keep(left, f"{name}_left{step}")
+        work.drop(f"{name}_hook{step}", f"{name}_jump{step}")
         if step:
-            work.drop(*[f"{name}_{x}{step - 1}" for x in ("hook", "jump", "labels", "left")])
-        if left.isEmpty():
-            work.drop(*[f"{name}_{x}{step}" for x in ("hook", "jump", "left")])
-            return labels
+            work.drop(*[f"{name}_{x}{step - 1}" for x in ("labels", "left")])
         step += 1
+    few = left.toArrow()
+    if labels is not None and not few.num_rows:
+        work.drop(f"{name}_left{step - 1}")
+        return labels
+    found = _labelled(few, work, f"{name}_labels")
+    if labels is not None:
+        labels = work.keep(_renamed(labels, found.toDF("comp", "up")), f"{name}_all")
+        work.drop(f"{name}_labels", f"{name}_labels{step - 1}", f"{name}_left{step - 1}")
+        return labels
+    return found
+
+
+def _renamed(labels: DataFrame, ups: DataFrame) -> DataFrame:
+    """Labels (node, comp) with the components of ups (comp, up) under their new name."""
+    return labels.join(ups, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+
+
+def _labelled(edges, work: Workspace, name: str) -> DataFrame:
+    """node, comp of an Arrow table of edges, as a table of the shared folder."""
+    import pyarrow as pa
+
+    nodes, comp = least_labels(*(edges.column(c).to_numpy() for c in ("a", "b")))
+    return work.keep(work.spark.createDataFrame(pa.table({"node": nodes, "comp": comp}), "node long, comp long"), name)
 
 
 def _packed(sig: Column, coordinates: int) -> Column:
@@ -243,15 +280,14 @@ def _posted(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_lists(posted: DataFrame) -> DataFrame:
-    """Postings of the lists that still hold different components."""
-    spans = posted.groupBy("v").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m")).filter("_l <> _m").select("v")
-    return posted.join(spans, "v")
+    """Postings of the lists that still hold different components, with the number of members of their list (_n)."""
+    spans = posted.groupBy("v").agg(F.min("comp").alias("_l"), F.max("comp").alias("_m"), F.count("*").alias("_n"))
+    return posted.join(spans.filter("_l <> _m").select("v", "_n"), "v")
 
 
 def _list_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates: int, percent: int, first: bool) -> DataFrame:
     """Colliding pairs of different components in lists of at most BLOCK members; with first, each member's first only."""
-    small = posted.join(posted.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") <= BLOCK), "v")
-    lists = small.join(packs, "node").groupBy("v").agg(F.collect_list(F.struct("node", "comp", "n", "pack")).alias("ms"))
+    lists = posted.filter(F.col("_n") <= BLOCK).join(packs, "node").groupBy("v").agg(F.collect_list(F.struct("node", "comp", "n", "pack")).alias("ms"))
 
     def partners(x, i):
         met = F.filter(F.slice("ms", F.lit(1), i), lambda y: (y["comp"] != x["comp"]) & _sized(x["n"], y["n"], percent) & (_agreeing(x["pack"], y["pack"], coordinates) >= matches))
@@ -277,7 +313,7 @@ def _pivot_pairs(posted: DataFrame, packs: DataFrame, matches: int, coordinates:
 
 def _large(posted: DataFrame) -> DataFrame:
     """Postings of the lists with more than BLOCK members."""
-    return posted.join(posted.groupBy("v").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("v"), "v")
+    return posted.filter(F.col("_n") > BLOCK).drop("_n")
 
 
 def _split(posted: DataFrame) -> DataFrame:
@@ -424,14 +460,16 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         if pairs.isEmpty():
             return
         state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = work.keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), f"ends_{name}")
         fetch(ends, name)
         sets = state["sets"].join(size_checked(ends, SENT_IDS), "node", "left_semi")
         items = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
         full = pairs.join(items("a"), "a").join(items("b"), "b")
         full = full.withColumn("_common", F.size(F.array_intersect("a_items", "b_items")))
         linked = full.filter(100 * F.col("_common") >= percent * (F.size("a_items") + F.size("b_items") - F.col("_common"))).select("a", "b")
-        join(work.keep(linked, f"edges_{name}"), name)
+        linked = work.keep(linked, f"edges_{name}")
+        work.drop(f"ends_{name}")
+        join(linked, name)
 
     def fetch(nodes: DataFrame, name: str) -> None:
         """Read the full sets of the nodes that have none yet."""
@@ -453,18 +491,17 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         return work.keep(_open_lists(_posted(lists, state["labels"])), f"open_{name}")
 
     for turn in range(ROUNDS):
-        posted = still_open(f"pivots{turn}")
-        posted = work.keep(_large(posted), f"large{turn}")
+        posted = _large(still_open(f"pivots{turn}"))
         if posted.isEmpty():
             break
         confirm(_pivot_pairs(posted, packs, matches, coordinates, percent, turn), f"pivots{turn}")
-        work.drop(f"open_pivots{turn}", f"large{turn}")
+        work.drop(f"open_pivots{turn}")
     confirm(_list_pairs(still_open("first"), packs, matches, coordinates, percent, True), "first")
     work.drop("open_first")
     posted = still_open("rest")
     confirm(_list_pairs(posted, packs, matches, coordinates, percent, False), "rest")
     work.drop("open_rest")
-    posted = work.keep(_large(still_open("blocks")), "blocks")
+    posted = _large(still_open("blocks"))
     if not posted.isEmpty():
         colliding = work.keep(_colliding(posted, packs, matches, coordinates, percent, work), "colliding")
         if not colliding.isEmpty():

@@ -161,3 +161,24 @@ def test_tables_that_nothing_reads_any_more_are_dropped(spark, tmp_path, monkeyp
     left = {p.name for p in tmp_path.glob("neardup-*/*")}
     assert not {n for n in left if n.startswith(("open_", "large")) or "_hook" in n or "_jump" in n}
     assert list(shared.giving_back(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
+
+
+@pytest.mark.parametrize("limit", [0, 300, 10_000])
+def test_few_edges_are_joined_without_steps_over_the_executors(spark, tmp_path, monkeypatch, limit):
+    """A chain, a star, a cycle and pairs: the same components by the driver, by steps, and by steps until few are left."""
+    monkeypatch.setattr(workspace, "LOCAL_CHECKPOINTS", str(tmp_path))
+    monkeypatch.setattr(neardup, "DRIVER_EDGES", limit, raising=False)
+    rng = random.Random(limit)
+    node = rng.sample(range(2**40), 700)
+    edges = [(i, i + 1) for i in range(299)] + [(300, i) for i in range(301, 400)] + [(400 + i, 400 + (i + 1) % 100) for i in range(100)] + [(i, i + 1) for i in range(500, 700, 2)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([(node[i], node[j]) for i, j in edges], "a long, b long")
+    work = shared.Workspace(spark, "components")
+    kept, keep = [], work.keep
+    monkeypatch.setattr(work, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    got = {}
+    for r in neardup.components(df, work, "c").collect():
+        got.setdefault(r["comp"], set()).add(r["node"])
+    want = [set(node[:300]), set(node[300:400]), set(node[400:500]), *(set(node[i : i + 2]) for i in range(500, 700, 2))]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and all(c in nodes for c, nodes in got.items())
+    assert len(kept) == 1 or limit < len(edges)
