@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.shared import Workspace, giving_back, size_checked
+from lodestone.llm.shared import Workspace, giving_back
 
 COORDINATES, MISS = 32, 1e-8
 CANDIDATES, ROUNDS, BLOCK = 8, 2, 64
@@ -50,8 +50,10 @@ SET_BLOCK, SET_ITEMS = 512, 1_000_000
 BITS, LANES = 7, 8
 #: Bits of a set's parity.
 FOLDS = 1024
-#: The classes whose full sets are needed are sent to the scan of texts up to so many ids; more are joined.
-SENT_IDS = 1_000_000
+#: Ids that are looked for are sent as bits of a filter up to so many, ID_BITS of them for each id; more are joined.
+SENT_IDS, ID_BITS = 4_000_000, 16
+#: Rows of labels that one task writes.
+LABELS = 50_000
 #: Edges whose components the driver finds (16 bytes each); more are joined by steps over all executors.
 DRIVER_EDGES = 500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -161,6 +163,26 @@ def signatures(docs: DataFrame, carry: list[str], text: str, width: int, coordin
     return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(giving_back(sign), schema)
 
 
+def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is one of ids (one column, distinct), and a few others, which the caller's join drops. A
+    table of ids takes the driver some hundred bytes each until it is sent, a filter 4 for the places and 4 at most for
+    its bits."""
+    import pyarrow as pa
+
+    spark, (name,) = rows.sparkSession, ids.columns
+    count = ids.count()
+    if count > SENT_IDS:
+        return rows.join(ids.select(F.col(name).alias("_id")), F.col(key) == F.col("_id"), "left_semi")
+    size = 1 << max(6, (ID_BITS * count - 1).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    at = ids.select(place(name).alias("at")).toArrow().column("at").to_numpy()
+    bits = np.zeros(size // 64, "uint64")
+    np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype("uint64"))
+    one = spark.createDataFrame(pa.table({"_bits": pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits.view("int64")))}), "_bits array<long>")
+    word = F.get("_bits", F.shiftright(place(key), 6))
+    return rows.join(F.broadcast(one), F.bit_get(word, F.pmod(place(key), F.lit(64))) == 1, "left_semi")
+
+
 def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
     """node, items (sorted array of long) of the wanted classes (node, rep, digest): their representatives' texts are
     read again, which takes far less than keeping every document's set."""
@@ -177,10 +199,9 @@ def _full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: i
             digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             yield pa.record_batch([batch.column(0), digests, pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["rep", "_digest", "items"])
 
-    reps = size_checked(wanted.select(F.col("rep").alias("_rep")).distinct(), SENT_IDS)
     texts = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("_text"))
-    sets = texts.join(reps, F.col("rep") == F.col("_rep"), "left_semi").mapInArrow(giving_back(collect), schema)
-    # rows that share an id may hold other texts; the digest tells
+    sets = _among(texts, "rep", wanted.select("rep").distinct()).mapInArrow(giving_back(collect), schema)
+    # the filter lets some others pass, and rows that share an id may hold other texts; id and digest tell
     found = sets.join(wanted.withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (F.col("_digest") == F.col("digest")))
     return found.select("node", "items").dropDuplicates(["node"])
 
@@ -240,11 +261,21 @@ def _renamed(labels: DataFrame, ups: DataFrame) -> DataFrame:
 
 
 def _labelled(edges, work: Workspace, name: str) -> DataFrame:
-    """node, comp of an Arrow table of edges, as a table of the shared folder."""
-    import pyarrow as pa
-
+    """node, comp of an Arrow table of edges, as a table of the shared folder. The executors write it from plain arrays:
+    as rows it would take the driver several times the memory."""
     nodes, comp = least_labels(*(edges.column(c).to_numpy() for c in ("a", "b")))
-    return work.keep(work.spark.createDataFrame(pa.table({"node": nodes, "comp": comp}), "node long, comp long"), name)
+    sent, tasks = work.spark.sparkContext.broadcast((nodes, comp)), -(-len(nodes) // LABELS)
+
+    def write(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(x[k * LABELS : (k + 1) * LABELS]) for x in sent.value], names=["node", "comp"])
+
+    found = work.keep(work.spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(write, "node long, comp long"), name)
+    sent.destroy()
+    return found
 
 
 def _packed(sig: Column, coordinates: int) -> Column:
@@ -446,8 +477,8 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     def confirm(pairs: DataFrame, name: str) -> None:
         """Test the new pairs on full sets and join the components of those that are similar."""
         met = work.keep(pairs, f"met_{name}")
-        ends = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct()
-        folds = classes.select("node", "n", "parity").join(size_checked(ends, SENT_IDS), "node", "left_semi")
+        ends = work.keep(met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct(), f"sides_{name}")
+        folds = _among(classes.select("node", "n", "parity"), "node", ends)
         side = lambda c: folds.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
         pairs = met.join(side("a"), "a").join(side("b"), "b")
         apart = sum((F.bit_count(F.col("a_parity")[i].bitwiseXOR(F.col("b_parity")[i])) for i in range(FOLDS // 64)), F.lit(0))
@@ -455,14 +486,14 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         if state["tested"] is not None:
             pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
         pairs = work.keep(pairs, f"pairs_{name}")
-        work.drop(f"met_{name}")
+        work.drop(f"met_{name}", f"sides_{name}")
         work.release()
         if pairs.isEmpty():
             return
         state["tested"] = pairs if state["tested"] is None else state["tested"].union(pairs)
         ends = work.keep(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), f"ends_{name}")
         fetch(ends, name)
-        sets = state["sets"].join(size_checked(ends, SENT_IDS), "node", "left_semi")
+        sets = _among(state["sets"], "node", ends)
         items = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"{c}_items"))
         full = pairs.join(items("a"), "a").join(items("b"), "b")
         full = full.withColumn("_common", F.size(F.array_intersect("a_items", "b_items")))

@@ -182,3 +182,24 @@ def test_few_edges_are_joined_without_steps_over_the_executors(spark, tmp_path,
     want = [set(node[:300]), set(node[300:400]), set(node[400:500]), *(set(node[i : i + 2]) for i in range(500, 700, 2))]
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and all(c in nodes for c, nodes in got.items())
     assert len(kept) == 1 or limit < len(edges)
+
+
+@pytest.mark.parametrize("limit", [0, 10_000])
+def test_ids_are_sent_as_bits_and_labels_as_arrays(spark, tmp_path, monkeypatch, limit):
+    """No wanted row is missed and few others pass; what is broadcast is a row of bits; labels come back whole and once."""
+    monkeypatch.setattr(neardup, "SENT_IDS", limit)
+    monkeypatch.setattr(neardup, "LABELS", 7)
+    for kind, of in (("long", lambda i: i * 977 - 5000), ("string", lambda i: f"id{i}")):
+        rows = spark.createDataFrame([(of(i),) for i in range(3000)] + [(None,)], f"k {kind}")
+        ids = {of(i) for i in range(0, 3000, 3)}
+        met = neardup._among(rows, "k", spark.createDataFrame([(i,) for i in ids], f"id {kind}"))
+        got = [r["k"] for r in met.collect()]
+        assert ids <= set(got) and len(got) == len(set(got)) and len(got) <= len(ids) * (1.3 if limit else 1)
+        assert ("LocalRelation [_bits" in met._jdf.queryExecution().optimizedPlan().toString()) == bool(limit)
+        assert neardup._among(rows, "k", spark.createDataFrame([], f"id {kind}")).count() <= 60
+    monkeypatch.setattr(workspace, "LOCAL_CHECKPOINTS", str(tmp_path))
+    edges = spark.createDataFrame([(5 * i, 5 * i + 1 + i % 2) for i in range(50)], "a long, b long").toArrow()
+    labels = neardup._labelled(edges, shared.Workspace(spark, "labels"), "l")
+    want = [(5 * i + j, 5 * i) for i in range(50) for j in (0, 1 + i % 2)]
+    assert sorted((r["node"], r["comp"]) for r in labels.collect()) == want
+    assert neardup._labelled(edges.slice(0, 0), shared.Workspace(spark, "labels"), "none").count() == 0
