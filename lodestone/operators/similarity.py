@@ -26,6 +26,8 @@ PAIRS = 1_000_000
 #: Where bands are compared: items hashed and pairs compared in one step of a worker, postings that it holds, postings
 #: and pairs of a task, and the least bits of a set's parities.
 HASHED, STEP, HELD, TASK_POSTS, TASK_PAIRS, PARITIES = 1 << 15, 250_000, 50_000, 50_000, 20_000_000, 512
+#: Postings that are shuffled with their sets' parities at once.
+TURN_POSTS = 4_000_000
 _BITS = [f"b{w}" for w in range(LONGS)]
 
 
@@ -102,13 +104,10 @@ def similar_pairs(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     number that it is written as). Exact, in whole numbers.
 
     Items are ordered from rare to common; two sets that similar share one of the first n - ceil(least n) + 1 items of
-    each, so only those meet, and what common items they have is counted for the few pairs that can be similar.
+    each, so only those meet, and what common items they have is counted for the few pairs that can be similar. They meet
+    as in similar_sets_lsh, an item standing for a band.
     """
-    p, q = Fraction(repr(float(least))).as_integer_ratio()
-    whole = _numbered(sets)
-    prefix = F.col("n") - F.expr(f"(n * {p} + {q - 1}) DIV {q}") + 1
-    found = _verified_in_turns(_meeting(whole, prefix, lambda n, m, most: most * (p + q) >= (n + m) * p), whole)
-    return found.filter(F.col("common") * q >= F.col("united") * p).select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
+    return _similar_sets(_numbered(sets).select("key", "items"), least, [], 1)
 
 
 def narrowed(df: DataFrame, *columns: str) -> list[Column]:
@@ -228,7 +227,7 @@ def _sketches(batches, hashes: list[Hash], rows: int):
             bands = binary(np.full(len(n) * len(starts), 4 * (rows + 1)), parts)
             bits, words = _parities(items, n)
             digest = [hashlib.sha256(every[offsets[k] : offsets[k + 1]].tobytes()).digest() for k in range(begin, end)]
-            of_sets = pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, len(starts), dtype="int32"), bands)
+            of_sets = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype="int32") * np.int32(len(starts)), bands)
             columns = [batch["key"].slice(begin, end - begin), pa.array(n), pa.array(digest, pa.binary()), of_sets, binary(8 * words, bits)]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n", "digest", "bands", "bits"])
             begin = end
@@ -263,10 +262,11 @@ def _numbers(rows, *names: str) -> np.ndarray:
 
 
 def _close(rows, p: int, q: int):
-    """Numbers of two rows each (arrays) that lie in the same block of a bucket, whose sizes and parities leave room for
-    a similarity of p / q. rows: bucket, x, y, own, n, bits, sorted by the first three and n."""
+    """Numbers of two rows each (arrays) that lie in the same block of a bucket, whose sizes, numbers of items that are
+    left where they meet, and parities leave room for a similarity of p / q. rows: bucket, x, y, own, n, left, bits,
+    sorted by the first three and n."""
     column = lambda c: rows[c].to_numpy().astype("int64")
-    x, y, own, n, group = *(column(c) for c in ("x", "y", "own", "n")), _numbers(rows, "bucket", "x", "y")
+    x, y, own, n, left, group = *(column(c) for c in ("x", "y", "own", "n", "left")), _numbers(rows, "bucket", "x", "y")
     raw = rows["bits"].combine_chunks()
     raw = raw.chunk(0) if hasattr(raw, "chunks") else raw
     ends = np.frombuffer(raw.buffers()[1], "int32")[raw.offset : raw.offset + len(raw) + 1].astype("int64")
@@ -298,6 +298,7 @@ def _close(rows, p: int, q: int):
         j = i + 1 + np.arange(len(i)) - np.repeat(total[begin:end] - here - before, here)
         begin = end
         once = (x[i] == y[i]) | (own[i] != own[j])
+        once &= np.minimum(left[i], left[j]) * (p + q) >= (n[i] + n[j]) * p
         i, j = i[once], j[once]
         ok = near(i, j, short[i], short[j])
         i, j = i[ok], j[ok]
@@ -320,6 +321,25 @@ def _met(batches, p: int, q: int):
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], ["a", "b"])
 
 
+def _close_in(posted: DataFrame, drawn: DataFrame, turn: int, work: Workspace, kind: str, p: int, q: int) -> DataFrame:
+    """a < b, distinct: the pairs of postings (key, left, band) of a band that can be similar, as far as sketches tell."""
+    size = F.size("posts").cast("long")
+    buckets = posted.groupBy("band").agg(F.collect_list(F.struct("key", "left")).alias("posts")).filter(F.size("posts") > 1)
+    buckets = work.keep(buckets.select(F.monotonically_increasing_id().alias("bucket"), "posts"), "buckets")
+    posts, pairs = (int(c or 0) for c in buckets.agg(F.sum(size), F.sum(size * (size - 1) / 2)).first())
+    work.release()
+    met = buckets.select("bucket", F.ceil(size / POSTS).alias("blocks"), F.explode("posts").alias("post")).select("bucket", "blocks", "post.key", "post.left")
+    met = met.join(drawn.select("key", "n", "bits"), "key").withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "n", "left", "bits")
+    met = met.repartition(posts // TASK_POSTS + pairs // TASK_PAIRS + 1, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
+    close = met.mapInArrow(giving_back(lambda batches: _met(batches, p, q)), f"a {kind}, b {kind}")
+    close = work.keep(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"close{turn}")
+    work.release()
+    work.drop("buckets")
+    return close
+
+
 def similar_pairs_lsh(sets: DataFrame, hashes: list[Hash], bands: int = BANDS, least: float = SIMILARITY) -> DataFrame:
     """a < b, similarity: the banded candidates that are similar on the full sets. item: long. Nulls are no keys and no items."""
     whole = sets.filter("key IS NOT NULL AND item IS NOT NULL").groupBy("key").agg(F.collect_set("item").alias("items"))
@@ -334,10 +354,16 @@ def similar_sets_lsh(whole: DataFrame, hashes: list[Hash], bands: int = BANDS, l
     size, and only as parities of their items; pairs that these rule out are never formed as rows. Buckets of over POSTS
     sets are dealt to the blocks of a triangle. What is left is counted on the full sets.
     """
+    ordered = whole.filter("key IS NOT NULL AND size(items) > 0").select("key", F.sort_array("items").alias("items"))
+    return _similar_sets(ordered, least, hashes, max(len(hashes) // bands, 1))
+
+
+def _similar_sets(whole: DataFrame, least: float, hashes: list[Hash], rows: int) -> DataFrame:
+    """a < b, similarity: the similar pairs with an equal band of `rows` hashes; without hashes, all similar pairs. whole:
+    key, items (array of long, equal sets in the same order; without hashes, all in one order)."""
     work, kind = Workspace(whole.sparkSession, "bands"), dict(whole.dtypes)["key"]
     p, q = Fraction(repr(float(least))).as_integer_ratio()
-    rows = max(len(hashes) // bands, 1)
-    whole = work.keep(whole.filter("key IS NOT NULL AND size(items) > 0").select("key", F.sort_array("items").alias("items")), "sets")
+    whole = work.keep(whole, "sets")
     work.release()
     sketch = giving_back(lambda batches: _sketches(batches, hashes, rows))
     drawn = work.keep(whole.mapInArrow(sketch, f"key {kind}, n long, digest binary, bands array<binary>, bits binary"), "sketches")
@@ -346,27 +372,31 @@ def similar_sets_lsh(whole: DataFrame, hashes: list[Hash], bands: int = BANDS, l
     copies = work.keep(classes.select("rep", F.explode("keys").alias("key")), "copies")
     work.release()
     others = size_checked(copies.filter("key <> rep").select("key"))
-    posted = drawn.join(others, "key", "left_anti").select("key", F.explode("bands").alias("band"))
-    size = F.size("keys").cast("long")
-    buckets = posted.groupBy("band").agg(F.collect_list("key").alias("keys")).filter(F.size("keys") > 1)
-    buckets = work.keep(buckets.select(F.monotonically_increasing_id().alias("bucket"), "keys"), "buckets")
-    posts, pairs = (int(c or 0) for c in buckets.agg(F.sum(size), F.sum(size * (size - 1) / 2)).first())
-    work.release()
-    met = buckets.select("bucket", F.ceil(size / POSTS).alias("blocks"), F.explode("keys").alias("key")).join(drawn.select("key", "n", "bits"), "key")
-    met = met.withColumn("own", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "n", "bits")
-    met = met.repartition(posts // TASK_POSTS + pairs // TASK_PAIRS + 1, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
-    close = met.mapInArrow(giving_back(lambda batches: _met(batches, p, q)), f"a {kind}, b {kind}")
-    close = work.keep(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
+    n = F.size("items")
+    if hashes:
+        posted, turns = drawn.join(others, "key", "left_anti").select("key", F.lit(2**31 - 1).alias("left"), F.explode("bands").alias("band")), 1
+    else:
+        prefix = n - F.expr(f"(size(items) * {p}L + {q - 1}) DIV {q}").cast("int") + 1
+        firsts = work.keep(whole.join(others, "key", "left_anti").select("key", n.alias("n"), F.slice("items", F.lit(1), prefix).alias("items")), "firsts")
+        work.release()
+        posted = firsts.select("key", "n", F.posexplode("items").alias("pos", "band")).select("key", (F.col("n") - F.col("pos")).alias("left"), "band")
+        counts = posted.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+        turns = int(counts.agg(F.sum(F.col("c") * F.ceil(F.col("c") / POSTS))).first()[0] or 0) // TURN_POSTS + 1
+        work.release()
+    close = None
+    for turn in range(turns):
+        here = posted.filter(F.pmod(F.xxhash64("band"), F.lit(turns)) == turn) if turns > 1 else posted
+        part = _close_in(here, drawn, turn, work, kind, p, q)
+        close = part if close is None else close.unionByName(part)
+    close = work.keep(close.distinct(), "close") if turns > 1 else close
     work.release()
-    work.drop("buckets", "sketches")
+    work.drop("sketches", "firsts", *[f"close{turn}" for turn in range(turns if turns > 1 else 0)])
     asked = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     involved = work.keep(whole.join(size_checked(asked), "key", "left_semi"), "involved")
     work.release()
     work.drop("sets")
     found = _verified_in_turns(close, involved).filter(F.col("common") * q >= F.col("united") * p)
-    work.drop("close", "involved")
+    work.drop("close", "close0", "involved")
     found = found.select("a", "b", (F.col("common") / F.col("united")).alias("similarity"))
     small = size_checked(copies)
     for end in ("a", "b"):

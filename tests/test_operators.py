@@ -497,3 +497,20 @@ def test_banded_pairs_of_nulls_and_nothing(spark):
     hashes = similarity.minhash_family(1009)
     assert [tuple(r) for r in similarity.similar_pairs_lsh(df, hashes).collect()] == [(3, 4, 1.0)]
     assert similarity.similar_pairs_lsh(df.filter("key = 1"), hashes).collect() == []
+
+
+def test_similar_pairs_meet_as_parities_in_turns(spark, monkeypatch):
+    """Copies are compared once, postings are dealt in turns, and pairs that sizes, places or parities rule out never become candidates."""
+    monkeypatch.setattr(similarity, "TURN_POSTS", 150, raising=False)
+    rng = random.Random(5)
+    base = {k: set(rng.sample(range(60), rng.randint(3, 25))) for k in range(40)}
+    sets = base | {100 + k: {*list(s)[1:], 99} for k, s in base.items()} | {200 + k: s for k, s in base.items() if k < 20}
+    df = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "key long, item long")
+    asked, verified = [], similarity._verified_in_turns
+    monkeypatch.setattr(similarity, "_verified_in_turns", lambda c, w: asked.append(c.count()) or verified(c, w))
+    share = lambda a, b: Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b]))
+    for least in (0.5, 0.8):
+        want = {(a, b): float(share(a, b)) for a, b in itertools.combinations(sorted(sets), 2) if share(a, b) >= Fraction(str(least))}
+        found = similarity.similar_pairs(df, least).collect()
+        assert {(r["a"], r["b"]): r["similarity"] for r in found} == want and len(found) == len(want)
+        assert asked.pop() < len(want)
